@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, licenses, packing, tokens, topk, warc
+from . import chat, jaccard_join, language_id, licenses, packing, tokens, topk, warc
 from .workspace import held_out, new_folder, remove_folder, written
 
 
@@ -61,6 +61,11 @@ def op6_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, archives, split)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of at least 0.85."""
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op8_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens packed into sequences of at most 4096."""
     pieces = written(packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "pieces")
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_chat_format": op5_chat_format,
     "op6_warc_normalise": op6_warc_normalise,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_bin_completion_packing": op8_bin_completion_packing,
     "op10_license_scan": op10_license_scan,
 }
