@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, language_id, licenses, packing, tokens, topk, warc
+from . import chat, jaccard_join, language_id, language_model, licenses, packing, tokens, topk, warc
 from .workspace import held_out, new_folder, remove_folder, written
 
 
@@ -34,6 +34,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(_table(spark, sf_dir, "documents"), ["doc_id"], path, public_tokenizers.PATTERN)
 
 
+def op4_lbl_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document; learns from documents whose id's crc32 mod 7 is not 2."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 7, 2).alias("held_out"))
+    return language_model.fit_and_score(docs, "not held_out", ["doc_id", "held_out"])
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation's turns and learnt text, read back from the formatted string."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_topk_inner_product": op2_topk_inner_product,
     "op3_token_counts": op3_token_counts,
+    "op4_lbl_scoring": op4_lbl_scoring,
     "op5_chat_format": op5_chat_format,
     "op6_warc_normalise": op6_warc_normalise,
     "op7_ngram_jaccard": op7_ngram_jaccard,
