@@ -13,6 +13,8 @@ Cases: null text is empty and is packed as its end mark; repeated rows are packe
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -20,48 +22,89 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import batches, written
 
-#: Chunks whose ids a worker keeps; it starts over beyond that, which costs time only.
-KEPT_CHUNKS = 400_000
-_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")  # white space to str.split, not to the tokenizer
-_TOKENIZERS: dict[str, tuple] = {}
-
-
-def word_tokenizer(path: str):
-    """The tokenizer of a file and its kept chunks."""
-    if path not in _TOKENIZERS:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _TOKENIZERS[path] = tokenizer, {}
-    return _TOKENIZERS[path]
+#: Chunks and pre-tokens whose ids a worker keeps; it starts over beyond that, which costs time only.
+KEPT_CHUNKS, KEPT_PIECES = 300_000, 600_000
+_SEPARATOR = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed: the tokenizer's own split
+_LATIN = "\u024f"
+_TOKENIZERS: dict[str, WordEncoder] = {}
 
 
 def _id_bytes(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
 
-def encode_bytes(path: str, texts: list[str | None]) -> list[bytes]:
-    """Each text's token ids as little-endian 32-bit words."""
-    tokenizer, known = word_tokenizer(path)
-    chunked = [None if (t and not _SEPARATORS.isdisjoint(t)) else (t or "").split() for t in texts]
-    missing = list({c for chunks in chunked if chunks for c in chunks if c not in known})
-    if len(known) + len(missing) > KEPT_CHUNKS:
-        known.clear()
-        missing = list({c for chunks in chunked if chunks for c in chunks})
-    for i in range(0, len(missing), 4096):
-        part = missing[i : i + 4096]
-        for chunk, code in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            known[chunk] = _id_bytes(code.ids)
-    get = known.__getitem__
-    return [_id_bytes(tokenizer.encode(t, add_special_tokens=False).ids) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, chunked, strict=True)]
+class WordEncoder:
+    """A tokenizer whose pre-tokens end in ``</w>``, with the ids of chunks and pre-tokens met so far."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return _id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Ids of many pre-tokens from few encodings: joined by blanks, each ends at an id of a word's end."""
+        for i in range(0, len(pieces), 2048):
+            part = pieces[i : i + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+                self.pieces.update((p, raw[at[k] : at[k + 1]]) for k, p in enumerate(part))
+            else:
+                self.pieces.update((p, self.whole(p)) for p in part)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Make the ids of chunks without white space known."""
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces.clear()
+        split: dict[str, list[str]] = {}
+        for chunk in chunks:
+            plain = chunk.isascii()
+            if plain or max(chunk) <= _LATIN:
+                low = (chunk if plain else unicodedata.normalize("NFC", chunk)).lower()
+                split[chunk] = [low] if plain and low.isalpha() else _PIECE.findall(low)
+            else:
+                self.chunks[chunk] = self.whole(chunk)
+        have = self.pieces
+        self._learn_pieces(list({p for pieces in split.values() for p in pieces if p not in have}))
+        for chunk, pieces in split.items():
+            self.chunks[chunk] = have[pieces[0]] if len(pieces) == 1 else b"".join([have[p] for p in pieces])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's token ids as little-endian 32-bit words."""
+        chunked = [None if (t and _SEPARATOR.search(t)) else (t or "").split() for t in texts]
+        known = self.chunks
+        missing = list({c for chunks in chunked if chunks for c in chunks if c not in known})
+        if len(known) + len(missing) > KEPT_CHUNKS:
+            known.clear()
+            missing = list({c for chunks in chunked if chunks for c in chunks})
+        self.learn(missing)
+        get = known.__getitem__
+        return [self.whole(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, chunked, strict=True)]
+
+
+def word_encoder(path: str) -> WordEncoder:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordEncoder(path)
+    return _TOKENIZERS[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, slice_chars: int = 2_000_000) -> DataFrame:
@@ -70,7 +113,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 36
+        number, encoder = TaskContext.get().partitionId() << 36, word_encoder(tokenizer_path)
         for batch in batches(source):
             texts = batch.column(1).to_pylist()
             rows, out = [], []
@@ -80,7 +123,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
                 while j < len(texts) and (j == i or size < slice_chars):
                     size += len(texts[j] or "")
                     j += 1
-                for k, ids in enumerate(encode_bytes(tokenizer_path, texts[i:j]), i):
+                for k, ids in enumerate(encoder.encode(texts[i:j]), i):
                     ids += mark
                     step = 4 * capacity
                     for p, at in enumerate(range(0, len(ids), step)):
