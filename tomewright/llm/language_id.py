@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import batches, row_slices, text_buffers
+from .workspace import batches, collected, row_slices, text_buffers
 from .words import mix
 
 _U = np.uint64
@@ -115,7 +115,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(total), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= min_share)
     # a share below min_share elsewhere cannot raise the maximum above what is kept here times 1/min_ratio
-    kept = shares.toPandas()
+    kept = collected(shares)
     languages = sorted(kept["lang"].unique().tolist())
     size, words = 1 << log2_slots, max(1, -(-len(languages) // 64))
     slots = np.zeros((size, words), dtype=_U)

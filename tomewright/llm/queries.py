@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, language_id, language_model, licenses, packing, tokens, topk, warc
+from . import chat, decontaminate, jaccard_join, language_id, language_model, licenses, packing, tokens, topk, warc
 from .workspace import held_out, new_folder, remove_folder, written
 
 
@@ -78,6 +78,11 @@ def op8_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).drop("piece_key")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document, with cosine, subsequence and answer shares."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases, tags and expressions of every document."""
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"), ["doc_id"])
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_normalise": op6_warc_normalise,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_bin_completion_packing": op8_bin_completion_packing,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_license_scan": op10_license_scan,
 }
 
