@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     # shards of two or more different sets: one row per key and task reaches the shuffle
     multi = written(keyed.groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("key"), "shards")
     release(spark)
-    shared = spark.sparkContext.broadcast(bit_filter(multi, "key", 26))
+    shared = spark.sparkContext.broadcast(bit_filter(multi, "key", 25))
 
     def sift(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import batches, written
+from .workspace import batches, collected, written
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -54,7 +54,7 @@ def rotation(vectors: DataFrame, vec_col: str) -> np.ndarray:
             i, j = np.divmod(np.arange(n * n), n)
             yield pa.RecordBatch.from_pydict({"i": i, "j": j, "g": total.ravel()})
 
-    cells = vectors.select(vec_col).mapInArrow(gram, "i long, j long, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).toPandas()
+    cells = collected(vectors.select(vec_col).mapInArrow(gram, "i long, j long, g double").groupBy("i", "j").agg(F.sum("g").alias("g")))
     if cells.empty:
         return np.zeros((0, 0))
     n = int(cells["i"].max()) + 1

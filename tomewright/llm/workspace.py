@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,11 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collected(df: DataFrame) -> pd.DataFrame:
+    """A result of bounded size as a pandas frame, sent to the driver in Arrow's columns."""
+    return df.toArrow().to_pandas()
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id's text leaves ``remainder``; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus) == remainder
@@ -102,11 +108,10 @@ def bit_filter(keys: DataFrame, key: str, log2_bits: int = 24) -> np.ndarray:
         F.col(key).bitwiseAND(F.lit(mask)),
         F.shiftrightunsigned(F.col(key), 64 - log2_bits).bitwiseAND(F.lit(mask)),
     )
-    rows = (
+    rows = collected(
         keys.select(F.explode(probes).alias("bit"))
         .groupBy(F.shiftright("bit", 6).alias("word"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits"))
-        .toPandas()
     )
     out = np.zeros(1 << (log2_bits - 6), dtype=np.uint64)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
