@@ -23,11 +23,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .workspace import batches, release, row_slices, text_buffers, written
+from .workspace import batches, collected, release, row_slices, text_buffers, written
 
 CHUNK = 1 << 22
 #: The hash under which the end of a text is counted; no word is empty, so no word has it by construction of hashing.
@@ -79,9 +79,14 @@ def count_words(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, shortlist: int = 1022, known: int = 1 << 17) -> Vocabulary:
-    """The ``known`` most frequent words (ties by hash) with slots for the first ``shortlist``, and the corpus totals."""
+    """The most frequent words, at most ``known`` and all of one count or none, with slots for the first ``shortlist``, and the corpus totals."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).collect()[0]
-    top = counts.orderBy(F.desc("c"), "h").limit(known).toPandas()
+    # the least count that at most ``known`` words reach: a histogram of counts decides, not a sort of all words
+    tally = counts.groupBy("c").agg(F.count("*").alias("words"))
+    upto = tally.select("c", F.sum("words").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("c"))).alias("upto"))
+    least = upto.where(F.col("upto") <= known).agg(F.min("c").alias("c")).collect()[0]["c"]
+    top = collected(counts.where(F.col("c") >= (least if least is not None else 1 << 62)))
+    top = top.sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     h, c = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
     is_end = h == END
     ends = int(c[is_end].sum())
@@ -218,7 +223,7 @@ def train(texts: DataFrame, vocab: Vocabulary, dim: int = 24, rounds: int = 1, t
             yield pa.RecordBatch.from_pydict({"i": np.arange(len(x)), "x": x * tokens, "n": np.full(len(x), float(tokens))})
 
         parts = texts.select(text).mapInArrow(run, "i long, x double, n double")
-        mean = parts.groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+        mean = collected(parts.groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")))
         if len(mean):
             x = np.zeros(len(mean))
             x[mean["i"]] = mean["x"]
