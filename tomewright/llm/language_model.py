@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import words
 from .workspace import batches, collected, release, row_slices, text_buffers, written
 
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: The hash under which the end of a text is counted; no word is empty, so no word has it by construction of hashing.
 END = np.int64(-0x2545F4914F6CDD1D)
 LOG10E = 1 / np.log(10)
