@@ -349,7 +349,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
 
     named = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("label", "fp"))
     named = written(named.select("doc_id", "n", "part"), "named")
-    first = named.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("first_id"))
+    # a table of its own, so that the join below can split a component that holds very many rows
+    first = written(named.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("first_id")), "first")
     linked = named.where("n > 0").join(first, "part").select("doc_id", "n", "first_id")
     alone = named.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("first_id"))
     return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("first_id").alias("component_id"))
