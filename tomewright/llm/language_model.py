@@ -85,7 +85,7 @@ def vocabulary(counts: DataFrame, shortlist: int = 1022, known: int = 1 << 17) -
     tally = counts.groupBy("c").agg(F.count("*").alias("words"))
     upto = tally.select("c", F.sum("words").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("c"))).alias("upto"))
     least = upto.where(F.col("upto") <= known).agg(F.min("c").alias("c")).collect()[0]["c"]
-    top = collected(counts.where(F.col("c") >= (least if least is not None else 1 << 62)))
+    top = collected(counts.where((F.col("c") >= (least if least is not None else 1 << 62)) | (F.col("h") == int(END))))
     top = top.sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     h, c = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
     is_end = h == END
