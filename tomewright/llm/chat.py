@@ -27,13 +27,13 @@ def unescape(text: Column) -> Column:
 
 
 def _escape_role(role: Column) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    return F.replace(F.replace(escape(role), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
 
 
 def _unescape_role(role: Column) -> Column:
     # a pair of backslashes stands for one; it is parked as a control string, which no escaped text can hold
-    parked = F.replace(unescape(role), F.lit("\\\\"), F.lit(SEP))
-    return F.replace(F.replace(parked, F.lit("\\n"), F.lit("\n")), F.lit(SEP), F.lit("\\"))
+    parked = F.replace(role, F.lit("\\\\"), F.lit(SEP))
+    return unescape(F.replace(F.replace(parked, F.lit("\\n"), F.lit("\n")), F.lit(SEP), F.lit("\\")))
 
 
 def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant") -> DataFrame:
