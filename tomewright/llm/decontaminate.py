@@ -51,12 +51,17 @@ class Settings:
 
 @dataclass
 class Passage:
-    """A checked stretch of an item: its words, its bit mask by word, and the words of its answer."""
+    """A checked stretch of an item: its words, its bit mask by word, the words of its answer, and its own word counts.
+
+    ``local`` maps a vocabulary position to one of the item's words (the last one stands for all others).
+    """
 
     item: object
     words: np.ndarray
     masks: dict[int, int]
     answer: np.ndarray
+    local: np.ndarray
+    counts: np.ndarray
 
 
 @dataclass
@@ -115,10 +120,20 @@ class Windows:
 
     def sums(self, step: np.ndarray, rows_of: np.ndarray, term: np.ndarray) -> np.ndarray:
         """Sum of ``rows_of[term]`` over each window, for tokens in order of step."""
-        out = np.zeros((self.n, rows_of.shape[1]), rows_of.dtype)
-        if len(step):
-            begins = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
-            out[step[begins]] = np.add.reduceat(rows_of[term], begins, axis=0)
+        width = rows_of.shape[1]
+        out = np.zeros((self.n, width), rows_of.dtype)
+        if not len(step):
+            return out
+        counts = np.bincount(step, minlength=self.n)
+        first = np.cumsum(counts) - counts
+        depth = int(counts.max())
+        table = np.full((depth, self.n), len(rows_of), np.int32)  # no term adds the row of zeros
+        table[np.arange(len(step)) - first[step], step] = term
+        padded = np.concatenate([rows_of, np.zeros((1, width), rows_of.dtype)])
+        for a in range(0, self.n, 512):  # a stretch of steps stays in the cache
+            part = out[a : a + 512]
+            for k in range(depth):
+                part += padded[table[k, a : a + 512]]
         return self.add_next(out)
 
     def span(self, k: int) -> tuple[int, int]:
@@ -212,7 +227,10 @@ def build_index(docs: DataFrame, items: list[tuple[object, np.ndarray]], setting
         for k, h in enumerate(w.tolist()):
             masks[h] = masks.get(h, 0) | 1 << k
         rare = np.argsort(-idf[_terms(vocabulary, w)], kind="stable")[: max(3, len(w) // 4)]
-        passages.append(Passage(i, w, masks, np.unique(w[rare])))
+        own, counts = np.unique(_terms(vocabulary, w), return_counts=True)
+        local = np.full(len(vocabulary) + 1, len(own), np.int16)  # position -1, no word of the vocabulary, is the last
+        local[own] = np.arange(len(own))
+        passages.append(Passage(i, w, masks, np.unique(w[rare]), local, np.append(counts, 0)))
     # the product of projections is linear in the words: (x V)(V' b) = sum over words of idf * V V' b
     scores = (idf[:, None] * basis) @ latent.T
     return Index(settings, vocabulary, idf, scores.astype(np.float32), passages)
@@ -248,7 +266,12 @@ def leaks_in(index: Index, row: np.ndarray, h: np.ndarray, rows: int) -> list[tu
             a, b = windows.span(at + k)
             m = len(passage.words)
             lo, hi = max(0, a - m), min(int(windows.counts[r]), b + m)
-            region = h[windows.first_word[r] + lo : windows.first_word[r] + hi]
+            at_words = slice(windows.first_word[r] + lo, windows.first_word[r] + hi)
+            # words in common, order aside, bound the subsequence from above
+            common = np.minimum(np.bincount(passage.local[term[at_words]], minlength=len(passage.counts)), passage.counts).sum()
+            if common < s.min_lcs * m:
+                continue
+            region = h[at_words]
             lcs = common_subsequence(passage.masks, m, region.tolist()) / m
             if lcs < s.min_lcs:
                 continue
