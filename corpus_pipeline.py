@@ -36,10 +36,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = jaccard_join.near_duplicates(docs, 5, 80)
     gone = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
     once = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
-    repeats = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    single = once.join(repeats, "doc_id", "left_anti")
+    repeats = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
+    if repeats.isEmpty():
+        return once
     several = once.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(several).select(*docs.columns)
+    return once.join(repeats, "doc_id", "left_anti").unionByName(several).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import connected_components
-from .workspace import batches, bit_filter, in_filter, new_folder, release, remove_folder, row_slices, text_buffers, written
+from .workspace import batches, bit_filter, in_filter, release, row_slices, text_buffers, written
 from .words import mix
 
 _U = np.uint64
@@ -205,22 +205,42 @@ class RTree:
                 yield x[ok], y[ok]
 
 
-def _scan_sets(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, fp, keys): size, hash and shard keys of every text's set."""
+def _runs(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, n-grams, their offsets, set hashes) of stretches of a batch of (any, text)."""
+    raw, offsets = text_buffers(batch.column(1))
+    for i, j in row_slices(offsets, CHUNK):
+        grams, at = _sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+        yield i, j, grams, at, mix(_sums(mix(grams), at) + np.diff(at).astype(_U)).view(np.int64)
+
+
+def _members(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """(doc_id, n, fp): size and hash of every text's set."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
-            raw, offsets = text_buffers(batch.column(1))
-            for i, j in row_slices(offsets, CHUNK):
-                grams, at = _sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                fp = mix(_sums(mix(grams), at) + np.diff(at).astype(_U))
+            for i, j, _, at, fp in _runs(batch, width):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(fp)], names=["doc_id", "n", "fp"])
+
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n long, fp long")
+
+
+def _shard_rows(docs: DataFrame, text: str, width: int, percent: int, only: np.ndarray | None = None) -> DataFrame:
+    """(key, fp) of every text's shards; with a bit filter, of the shards it may hold. Computed anew, never stored."""
+    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            for _, _, grams, at, fp in _runs(batch, width):
                 key, row = shard_keys(grams, at, percent)
-                order = np.argsort(row, kind="stable")
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(j - i + 1)), pa.int32()), pa.array(key[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(fp.view(np.int64)), lists], names=["doc_id", "n", "fp", "keys"])
+                key = key.view(np.int64)
+                if shared is not None:
+                    ok = in_filter(shared.value, key)
+                    key, row = key[ok], row[ok]
+                for k in range(0, len(key), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 200_000]), pa.array(fp[row[k : k + 200_000]])], names=["key", "fp"])
 
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n long, fp long, keys array<long>")
+    return docs.select(F.lit(0).alias("z"), F.col(text)).mapInArrow(run, "key long, fp long")
 
 
 def _needed_sets(docs: DataFrame, doc_id: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -232,13 +252,10 @@ def _needed_sets(docs: DataFrame, doc_id: str, text: str, width: int, wanted: Da
         bits = shared.value
         for batch in batches(source):
             batch = batch.filter(pa.array(in_filter(bits, batch.column(0).to_numpy(zero_copy_only=False))))
-            raw, offsets = text_buffers(batch.column(1))
-            for i, j in row_slices(offsets, CHUNK):
-                grams, at = _sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                fp = mix(_sums(mix(grams), at) + np.diff(at).astype(_U))
+            for _, _, grams, at, fp in _runs(batch, width):
                 points = [count_point(grams[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp.view(np.int64)), pa.array(np.diff(at), pa.int64()), pa.array(points, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(grams.view(np.int64)))],
+                    [pa.array(fp), pa.array(np.diff(at), pa.int64()), pa.array(points, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(grams.view(np.int64)))],
                     names=["fp", "n", "point", "grams"],
                 )
 
@@ -301,28 +318,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     Two rows link when 100 * |intersection| >= percent * |union| of their sets of ``width`` words.
     """
     spark = docs.sparkSession
-    folder = new_folder(spark, "sets")
-    _scan_sets(docs, doc_id, text, width, percent).write.mode("overwrite").option("compression", "snappy").parquet(folder)
-    scanned = spark.read.parquet(folder)
-    members = written(scanned.select("doc_id", "n", "fp"), "members")
-    keyed = scanned.select("fp", F.explode("keys").alias("key"))
+    members = written(_members(docs, doc_id, text, width), "members")
 
     # shards of two or more different sets: one row per key and task reaches the shuffle
-    multi = written(keyed.groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("key"), "shards")
+    multi = _shard_rows(docs, text, width, percent).groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
+    multi = written(multi.select("key"), "shards")
     release(spark)
-    shared = spark.sparkContext.broadcast(bit_filter(multi, "key", 25))
-
-    def sift(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches(source):
-            lists = batch.column(1)
-            key = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            ok = in_filter(bits, key)
-            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), batch.column(0).take(pa.array(row[ok]))], names=["key", "fp"])
-
-    hits = written(scanned.select("fp", "keys").mapInArrow(sift, "key long, fp long").join(multi, "key", "left_semi").groupBy("key", "fp").agg(F.count("*").alias("copies")).select("key", "fp"), "hits")
-    remove_folder(spark, folder)
+    kept = _shard_rows(docs, text, width, percent, bit_filter(multi, "key", 25))
+    hits = written(kept.join(multi, "key", "left_semi").groupBy("key", "fp").agg(F.count("*").alias("copies")).select("key", "fp"), "hits")
     release(spark)
 
     degree = hits.groupBy("fp").agg(F.count("*").alias("degree"))
