@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .workspace import batches, written
 
 #: Chunks and pre-tokens whose ids a worker keeps; it starts over beyond that, which costs time only.
-KEPT_CHUNKS, KEPT_PIECES = 300_000, 600_000
+KEPT_CHUNKS, KEPT_PIECES = 700_000, 900_000
 _SEPARATOR = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed: the tokenizer's own split
 _LATIN = "\u024f"
@@ -75,30 +75,47 @@ class WordEncoder:
         """Make the ids of chunks without white space known."""
         if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
-        split: dict[str, list[str]] = {}
+        have, known = self.pieces, self.chunks
+        pending: list[tuple[str, str]] = []
         for chunk in chunks:
-            plain = chunk.isascii()
-            if plain or max(chunk) <= _LATIN:
-                low = (chunk if plain else unicodedata.normalize("NFC", chunk)).lower()
-                split[chunk] = [low] if plain and low.isalpha() else _PIECE.findall(low)
+            if chunk.isascii():
+                low = chunk.lower()
+            elif max(chunk) <= _LATIN:
+                low = unicodedata.normalize("NFC", chunk).lower()
             else:
-                self.chunks[chunk] = self.whole(chunk)
-        have = self.pieces
-        self._learn_pieces(list({p for pieces in split.values() for p in pieces if p not in have}))
-        for chunk, pieces in split.items():
-            self.chunks[chunk] = have[pieces[0]] if len(pieces) == 1 else b"".join([have[p] for p in pieces])
+                known[chunk] = self.whole(chunk)
+                continue
+            if low in have:  # a chunk that is one pre-token, in any case
+                known[chunk] = have[low]
+            else:
+                pending.append((chunk, low))
+        split = [[low] if low.isalpha() and low.isascii() else _PIECE.findall(low) for _, low in pending]
+        self._learn_pieces(list({p for pieces in split for p in pieces if p not in have}))
+        for (chunk, _), pieces in zip(pending, split, strict=True):
+            known[chunk] = have[pieces[0]] if len(pieces) == 1 else b"".join([have[p] for p in pieces])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's token ids as little-endian 32-bit words."""
-        chunked = [None if (t and _SEPARATOR.search(t)) else (t or "").split() for t in texts]
         known = self.chunks
-        missing = list({c for chunks in chunked if chunks for c in chunks if c not in known})
-        if len(known) + len(missing) > KEPT_CHUNKS:
+        if len(known) > KEPT_CHUNKS:
             known.clear()
-            missing = list({c for chunks in chunked if chunks for c in chunks})
-        self.learn(missing)
-        get = known.__getitem__
-        return [self.whole(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, chunked, strict=True)]
+        coded: list[bytes | list[bytes]] = []
+        gaps: list[tuple[list, int, str]] = []
+        for text in texts:
+            if text and _SEPARATOR.search(text):
+                coded.append(self.whole(text))
+                continue
+            chunks = (text or "").split()
+            parts = list(map(known.get, chunks))
+            at = -1
+            for _ in range(parts.count(None)):
+                at = parts.index(None, at + 1)
+                gaps.append((parts, at, chunks[at]))
+            coded.append(parts)
+        self.learn(list({chunk for *_, chunk in gaps}))
+        for parts, at, chunk in gaps:
+            parts[at] = known[chunk]
+        return [c if isinstance(c, bytes) else b"".join(c) for c in coded]
 
 
 def word_encoder(path: str) -> WordEncoder:
