@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat an id and a text count as one. Rows without an id stay unless their group has a row with one.
     """
-    groups = jaccard_join.near_duplicates(docs, 5, 80)
+    groups = jaccard_join.near_duplicates(docs, 5, 80, slices=4)
     gone = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
     once = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
     repeats = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")

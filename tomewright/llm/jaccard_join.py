@@ -37,7 +37,7 @@ from .workspace import batches, bit_filter, in_filter, release, row_slices, text
 from .words import mix
 
 _U = np.uint64
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def _loose(items: int, ranges: int, spare: int) -> float:
@@ -225,14 +225,20 @@ def _members(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n long, fp long")
 
 
-def _shard_rows(docs: DataFrame, text: str, width: int, percent: int, only: np.ndarray | None = None) -> DataFrame:
-    """(key, fp) of every text's shards; with a bit filter, of the shards it may hold. Computed anew, never stored."""
+def _shard_rows(docs: DataFrame, text: str, width: int, percent: int, only: np.ndarray | None = None, slice_: tuple[int, int] = (0, 1)) -> DataFrame:
+    """(key, fp) of every text's shards in one slice of the key space; with a bit filter, of the shards it may hold.
+
+    Computed anew, never stored.
+    """
     shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
             for _, _, grams, at, fp in _runs(batch, width):
                 key, row = shard_keys(grams, at, percent)
+                if slice_[1] > 1:
+                    mine = (key >> _U(40)) % _U(slice_[1]) == slice_[0]
+                    key, row = key[mine], row[mine]
                 key = key.view(np.int64)
                 if shared is not None:
                     ok = in_filter(shared.value, key)
@@ -264,13 +270,22 @@ def _needed_sets(docs: DataFrame, doc_id: str, text: str, width: int, wanted: Da
     return exact.groupBy("fp").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("grams").alias("grams"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set hashes that link: the overlap of the sets themselves decides."""
-    a = sets.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
-    b = sets.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
-    sized = pairs.join(a.select("a", "n_a"), "a").join(b.select("b", "n_b"), "b").where(F.least("n_a", "n_b") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
-    met = sized.select("a", "b").join(a, "a").join(b, "b")
-    return met.where(F.size(F.array_intersect("g_a", "g_b")) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, slices: int) -> DataFrame:
+    """The pairs (a, b) of set hashes that link: the overlap of the sets themselves decides. Slice by slice of b."""
+    out = None
+    for k in range(slices):
+        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(slices)) == k  # noqa: B023, E731
+        b = sets.where(mine("fp")).select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
+        a = sets.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
+        total = F.col("n_a") + F.col("n_b")
+        sized = pairs.where(mine("b")).join(a.select("a", "n_a"), "a").join(b.select("b", "n_b"), "b").where(F.least("n_a", "n_b") * (100 + percent) >= percent * total)
+        met = sized.select("a", "b").join(b, "b").join(a, "a")
+        linked = met.where(F.size(F.array_intersect("g_a", "g_b")) * (100 + percent) >= percent * total).select("a", "b")
+        part = written(linked, "links")
+        del b, a, sized, met, linked
+        release(pairs.sparkSession)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -312,7 +327,7 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", cell: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", cell: int = 2048, slices: int = 1) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of every row.
 
     Two rows link when 100 * |intersection| >= percent * |union| of their sets of ``width`` words.
@@ -321,9 +336,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     members = written(_members(docs, doc_id, text, width), "members")
 
     # shards of two or more different sets: one row per key and task reaches the shuffle
-    multi = _shard_rows(docs, text, width, percent).groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
-    multi = written(multi.select("key"), "shards")
-    release(spark)
+    # the key space goes in slices, so that only one slice's shuffle is on disk at a time
+    multi = None
+    for k in range(slices):
+        pairs = _shard_rows(docs, text, width, percent, slice_=(k, slices)).groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
+        part = written(pairs.select("key"), "shards")
+        del pairs
+        release(spark)
+        multi = part if multi is None else multi.unionByName(part)
     kept = _shard_rows(docs, text, width, percent, bit_filter(multi, "key", 25))
     hits = written(kept.join(multi, "key", "left_semi").groupBy("key", "fp").agg(F.count("*").alias("copies")).select("key", "fp"), "hits")
     release(spark)
@@ -335,8 +355,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     wanted = degree.select("fp").join(members.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fp")
     sets = written(_needed_sets(docs, doc_id, text, width, wanted), "needed", "none")
     release(spark)
-    links = written(_verified(star, sets, percent), "links")
-    release(spark)
+    links = _verified(star, sets, percent, slices)
     labels = connected_components(links)
 
     # shards that still hold several components grow R-trees
@@ -345,8 +364,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     split = parted.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", F.ceil(F.col("m") / cell).alias("blocks"))
     placed = parted.join(split, "key").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks")).withColumn("each", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = placed.select("key", F.least("own", "each").alias("lo"), F.greatest("own", "each").alias("hi"), "fp", "part").join(sets.select("fp", "n", "point"), "fp")
-    more = written(_verified(written(_tree_pairs(cells, percent), "tree-pairs"), sets, percent), "links")
-    release(spark)
+    more = _verified(written(_tree_pairs(cells, percent), "tree-pairs"), sets, percent, slices)
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
 
