@@ -99,12 +99,10 @@ def string_diff(old: Column, new: Column) -> Column:
     short = F.least(F.length(old), F.length(new))
 
     def common(a: Column, b: Column, most: Column) -> Column:
-        """Length of the common prefix: a binary search over lengths, as sharing a prefix is monotone."""
-        step = F.lit(0)
-        for bit in reversed(range(20)):
-            longer = step + (1 << bit)
-            step = F.when((longer <= most) & (F.left(a, longer) == F.left(b, longer)), longer).otherwise(step)
-        return step
+        """Length of the common prefix within ``most`` characters: where the first unequal pair of characters stands."""
+        pairs = F.zip_with(F.split(F.left(a, most), ""), F.split(F.left(b, most), ""), lambda x, y: x == y)
+        first = F.array_position(pairs, False)
+        return F.when(first == 0, most).otherwise(F.least(first - 1, most)).cast("int")
 
     start = common(old, new, short)
     end = common(F.reverse(old), F.reverse(new), short - start)
