@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -46,7 +47,7 @@ def _square(values) -> np.ndarray:
     return flat[: side * side].reshape(side, side)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def phash_udf(pixels: pd.Series) -> pd.Series:
     """F-10 over arrays of pixels of square images (8×8 and larger); null for null."""
     return pd.Series([None if p is None else phash(_square(p)) for p in pixels], dtype="Int64")
@@ -78,7 +79,7 @@ def cliff_scale(pixels: np.ndarray) -> float | None:
     return None if scale >= 0.9 else float(np.clip(scale, 0.5, 0.9))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def cliff_scale_udf(pixels: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else cliff_scale(_square(p)) for p in pixels], dtype="float64")
 
@@ -110,6 +111,6 @@ def sharpness(pixels: np.ndarray, tile: int = 512) -> float:
     return float(abs(_filter3(blurred, np.array([[0, 1, 0], [1, -4, 1], [0, 1, 0]])).std(ddof=1)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sharpness_udf(pixels: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else sharpness(_square(p)) for p in pixels], dtype="float64")
