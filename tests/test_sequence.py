@@ -71,8 +71,9 @@ def test_queue_insert_and_retention(spark):
     got = sequence.ordered_insert(q, "s", "pos", "k", F.lit("a"), F.lit(5.0)).collect()
     assert {r.insert_at for r in got} == {3} and sorted(r.shifted for r in got) == [1, 2, 4]
     rows = spark.createDataFrame([(i, i // 2) for i in range(9)], "id int, t int")
-    # the fourth newest has t = 3, as has the third: both go
-    assert sorted(r.id for r in sequence.keep_newest(rows, "t", 3).collect()) == [8]
+    # with two to keep, the third newest has t = 3, as has the second: both go
+    assert sorted(r.id for r in sequence.keep_newest(rows, "t", 2).collect()) == [8]
+    assert sorted(r.id for r in sequence.keep_newest(rows, "t", 3).collect()) == [6, 7, 8]
     assert sequence.keep_newest(rows, "t", 100).count() == 9
 
 
