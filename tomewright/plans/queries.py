@@ -174,9 +174,7 @@ def consecutive_prefix(spark, sf):
 
 
 @query("""
-WITH m AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS parts FROM lineitem GROUP BY 1)
-SELECT l_orderkey, CASE WHEN n = lines THEN true ELSE false END AS repeats FROM (
-  SELECT l_orderkey, 1 AS n, CASE WHEN count(DISTINCT l_linenumber) <> count(l_linenumber) THEN 1 ELSE 0 END AS lines FROM lineitem GROUP BY 1)
+SELECT l_orderkey, count(DISTINCT l_linenumber) <> count(l_linenumber) AS repeats FROM lineitem GROUP BY 1
 """)
 def repeated_numbers(spark, sf):
     """A-8: orders whose line numbers repeat."""
