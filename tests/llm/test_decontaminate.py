@@ -65,6 +65,38 @@ def test_recall_of_the_candidate_search(spark):
     assert len(want) > 20 and len(got & want) >= 0.9 * len(want)
 
 
+def test_long_items_are_found(spark):
+    """Verbatim copies of items of several hundred words, in number of passages beyond the rank."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(["the", "of", "and", "in"]) if rng.random() < 0.3 else "".join(rng.choices("abcdefghijklmno", k=3))
+    items = [(i, " ".join(word() for _ in range(rng.choice([300, 500])))) for i in range(20)]
+    items.append((20, " ".join(word() for _ in range(2000))))  # more passages than the rank
+    docs = [(i, " ".join([*(word() for _ in range(i % 3 * 50)), text])) for i, text in items]
+    docs += [(100 + i, " ".join(word() for _ in range(200))) for i in range(100)]
+    docs += [(200 + i, " ".join(items[i][1].split()[70:134])) for i in range(20)]  # a passage of an item alone
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.find_leaks(df, bench, dc.Settings(rank=48)).collect()}
+    want = {(i, i) for i in range(21)} | {(200 + i, i) for i in range(20)}
+    assert want <= got and not any(100 <= d < 200 for d, _ in got)
+
+
+def test_blocks_are_filled_by_passages(spark):
+    bench = spark.createDataFrame([(i, "a b c " * n) for i, n in enumerate([100, 100, 1, 1, 1, 400, 1])], "item_id long, text string")
+    settings = dc.Settings(rank=16, block_items=3)
+    blocks = list(dc._blocks(bench, "item_id", "text", settings))
+    assert [[i for i, _ in b] for b in blocks] == [[0], [1, 2, 3], [4], [5], [6]]
+    assert all(len(b) == 1 or sum(len(dc.item_passages(w, settings)) for _, w in b) <= 16 for b in blocks)
+
+
+def test_every_passage_keeps_its_energy():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 90))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    basis = dc.with_lost_directions(np.linalg.qr(rng.normal(size=(90, 12)))[0], x, 0.9)
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-9)
+    assert (((x @ basis) ** 2).sum(1) >= 0.9).all()
+
+
 def test_empty_sides(spark):
     docs, bench = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert dc.find_leaks(docs.limit(0), bench).count() == 0

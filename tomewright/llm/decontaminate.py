@@ -9,7 +9,9 @@ at least ``min_cosine`` are candidates. A candidate leaks if the longest common
 around the passage covers ``min_lcs`` of it, and, below ``sure_lcs``, if most of the answer is there too: the quarter of
 the item's words that is rarest in the corpus.
 
-The benchmark is taken in blocks of ``block_items`` items, each with its own space, so what is broadcast is bounded.
+The benchmark is taken in blocks, each with its own space: at most ``block_items`` items and as many passages as the space
+has ranks, so what is broadcast is bounded (an item of more passages is a block by itself). A passage of which the space
+keeps less than ``min_energy`` has its own direction added, so its copies keep their cosine whatever else is in the block.
 
 Cases: null, empty and wordless texts and items leak nothing; items longer than ``item_words`` are cut into passages
 that are checked each; repeated rows and items are reported each; an empty table on either side gives no row.
@@ -19,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ class Settings:
     window: int = 32
     rank: int = 256
     item_weight: float = 16.0
+    min_energy: float = 0.9
     min_cosine: float = 0.3
     min_lcs: float = 0.6
     sure_lcs: float = 0.85
@@ -202,9 +204,26 @@ def corpus_range(docs: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, omega
     return out, float(rows.loc[~real, "x"].mean()) if (~real).any() else 0.0
 
 
+def item_passages(item: np.ndarray, settings: Settings) -> list[np.ndarray]:
+    """An item's words, in half-overlapping passages if it is longer than ``item_words``; none of a wordless item."""
+    half = settings.item_words // 2
+    return [item[a : a + settings.item_words] for a in range(0, max(1, len(item) - half), half) if len(item)]
+
+
+def with_lost_directions(basis: np.ndarray, x: np.ndarray, min_energy: float) -> np.ndarray:
+    """``basis`` and what it lacks of the rows of ``x`` (of length 1) that it keeps less than ``min_energy`` of."""
+    lost = x[((x @ basis) ** 2).sum(1) < min_energy]
+    if not len(lost):
+        return basis
+    for _ in range(2):  # the second time removes what rounding left
+        lost = lost - (lost @ basis) @ basis.T
+    left, size, _ = np.linalg.svd(lost.T, full_matrices=False)
+    return np.concatenate([basis, left[:, size > 1e-9]], axis=1)
+
+
 def build_index(docs: DataFrame, items: list[tuple[object, np.ndarray]], settings: Settings, text: str = "text") -> Index | None:
     """The latent space of a block of items (id, word hashes) among all documents."""
-    cut = [(i, w[a : a + settings.item_words]) for i, w in items for a in range(0, max(1, len(w) - settings.item_words // 2), settings.item_words // 2) if len(w)]
+    cut = [(i, part) for i, w in items for part in item_passages(w, settings)]
     if not cut:
         return None
     vocabulary = np.unique(np.concatenate([w for _, w in cut]))
@@ -219,8 +238,9 @@ def build_index(docs: DataFrame, items: list[tuple[object, np.ndarray]], setting
     own = x.T @ (x @ omega)
     weight = settings.item_weight * energy / max((x**2).sum(), 1e-12) if energy else 1.0
     left, _, _ = np.linalg.svd(spread + weight * own, full_matrices=False)
-    basis = left[:, : settings.rank]
-    latent = (x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]) @ basis
+    unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    basis = with_lost_directions(left[:, : settings.rank], unit, settings.min_energy)
+    latent = unit @ basis
     passages = []
     for i, w in cut:
         masks: dict[int, int] = {}
@@ -285,15 +305,23 @@ def leaks_in(index: Index, row: np.ndarray, h: np.ndarray, rows: int) -> list[tu
     return [(*key, *value) for key, value in found.items()]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, size: int) -> Iterator[list[tuple[object, np.ndarray]]]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, settings: Settings) -> Iterator[list[tuple[object, np.ndarray]]]:
     """The benchmark's items block by block; only one block is on the driver."""
-    rows = benchmark.select(item_id, text).toLocalIterator()
-    while block := list(islice(rows, size)):
-        yield [(r[0], w) for r, w in zip(block, text_words([r[1] for r in block]), strict=True)]
+    block, size = [], 0
+    for r in benchmark.select(item_id, text).toLocalIterator():
+        item = text_words([r[1]])[0]
+        passages = len(item_passages(item, settings))
+        if block and (len(block) == settings.block_items or size + passages > settings.rank):
+            yield block
+            block, size = [], 0
+        block.append((r[0], item))
+        size += passages
+    if block:
+        yield block
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, settings: Settings, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> Iterator[Index]:
-    for block in _blocks(benchmark, item_id, item_text, settings.block_items):
+    for block in _blocks(benchmark, item_id, item_text, settings):
         if (index := build_index(docs, block, settings, text)) is not None:
             yield index
 
