@@ -97,6 +97,22 @@ def test_every_passage_keeps_its_energy():
     assert (((x @ basis) ** 2).sum(1) >= 0.9).all()
 
 
+def test_the_space_is_fitted_on_all_documents(spark, monkeypatch):
+    """Far more documents than tasks, most of them copies: the sum is that of every passage."""
+    calls, real = [], dc.corpus_range
+    monkeypatch.setattr(dc, "corpus_range", lambda *a, **k: calls.append((a, real(*a, **k))) or calls[-1][1])
+    texts = ["a b b c", "c d e f", "a f g", "b d g g g"]
+    kinds = [0 if i % 3 == 0 else 1 + i % 3 if i % 5 else 1 for i in range(60_000)]
+    docs = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(kinds)], "doc_id long, text string")
+    index = dc.build_index(docs, [(1, dc.text_words(["a b c d e f g"])[0])], dc.Settings())
+    (_, vocabulary, idf, omega, *_), (got, _) = calls[0]
+    x = np.zeros((len(texts), len(vocabulary)))
+    for k, w in enumerate(dc.text_words(texts)):
+        np.add.at(x[k], index.terms(w), idf[index.terms(w)])
+    want = x.T @ (np.bincount(kinds)[:, None] * (x @ omega))
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-3 * np.abs(want).max())
+
+
 def test_empty_sides(spark):
     docs, bench = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert dc.find_leaks(docs.limit(0), bench).count() == 0

@@ -3,8 +3,8 @@
 Texts are words (ASCII letters and digits and non-ASCII characters, A-Z lowered). A benchmark's vocabulary spans the
 feature space: other words have no product with any item. Passages are overlapping windows of ``window`` words as TF-IDF
 vectors, document frequencies being counted over all documents. A randomised SVD (range of XᵀXΩ, summed over tasks)
-gives the latent space; its rows are the items, weighted to ``item_weight`` times the energy of all others, and the passages of at most
-``fit_docs`` documents drawn by a hash of their text. Every passage of every document is projected; items of a cosine of
+gives the latent space; its rows are the items, weighted to ``item_weight`` times the energy of all others, and the passages
+of all documents. Every passage of every document is projected; items of a cosine of
 at least ``min_cosine`` are candidates. A candidate leaks if the longest common subsequence of the item with the words
 around the passage covers ``min_lcs`` of it, and, below ``sure_lcs``, if most of the answer is there too: the quarter of
 the item's words that is rarest in the corpus.
@@ -45,7 +45,6 @@ class Settings:
     min_lcs: float = 0.6
     sure_lcs: float = 0.85
     min_answer: float = 0.5
-    fit_docs: int = 20_000
     block_items: int = 256
     item_words: int = 64
     seed: int = 11
@@ -169,8 +168,8 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "t
     return df, int(rows.loc[~real, "df"].sum())
 
 
-def corpus_range(docs: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, omega: np.ndarray, settings: Settings, n: int, text: str = "text") -> tuple[np.ndarray, float]:
-    """XᵀXΩ over the passages of the documents drawn, and their energy; one matrix of fixed size per task is sent."""
+def corpus_range(docs: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, omega: np.ndarray, settings: Settings, text: str = "text") -> tuple[np.ndarray, float]:
+    """XᵀXΩ over the passages of all documents, and their energy; one matrix of fixed size per task is sent."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, idf, omega))
     width = omega.shape[1]
 
@@ -195,9 +194,7 @@ def corpus_range(docs: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, omega
         at = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([np.full(width, energy), *total[at]], pa.list_(pa.float64()))], names=["t", "x"])
 
-    share = 1.0 if n <= settings.fit_docs else settings.fit_docs / n
-    drawn = docs.select(text).where(F.pmod(F.xxhash64(text, F.lit(settings.seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = collected(drawn.mapInArrow(run, "t long, x array<double>").select("t", F.posexplode("x").alias("k", "x")).groupBy("t", "k").agg(F.sum("x").alias("x")))
+    rows = collected(docs.select(text).mapInArrow(run, "t long, x array<double>").select("t", F.posexplode("x").alias("k", "x")).groupBy("t", "k").agg(F.sum("x").alias("x")))
     out = np.zeros((len(vocabulary), width))
     real = rows["t"] >= 0
     out[rows.loc[real, "t"], rows.loc[real, "k"]] = rows.loc[real, "x"]
@@ -234,7 +231,7 @@ def build_index(docs: DataFrame, items: list[tuple[object, np.ndarray]], setting
     x = np.zeros((len(cut), len(vocabulary)))
     for k, (_, w) in enumerate(cut):
         np.add.at(x[k], _terms(vocabulary, w), idf[_terms(vocabulary, w)])
-    spread, energy = corpus_range(docs, vocabulary, idf, omega, settings, n, text)
+    spread, energy = corpus_range(docs, vocabulary, idf, omega, settings, text)
     own = x.T @ (x @ omega)
     weight = settings.item_weight * energy / max((x**2).sum(), 1e-12) if energy else 1.0
     left, _, _ = np.linalg.svd(spread + weight * own, full_matrices=False)
