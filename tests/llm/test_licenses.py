@@ -52,3 +52,22 @@ def test_evaluation():
     ways = licenses.evaluate(licenses.parse_expression("(MIT OR ISC) AND GPL-2.0 WITH CE")[0])
     assert ways == [frozenset({"mit", "gpl-2.0 with ce"}), frozenset({"isc", "gpl-2.0 with ce"})]
     assert licenses.expression_labels("LGPL-2.1+ or zlib") == ["lgpl", "zlib"]
+
+
+def test_no_licence_of_a_long_expression_is_lost(spark):
+    choices = " AND ".join(f"(L{2 * i} OR L{2 * i + 1})" for i in range(60))
+    want = sorted(f"l{i}" for i in range(120))
+    assert licenses.expression_labels(choices) == want
+    listed = f"({' OR '.join(f'L{i}' for i in range(120))}) AND MIT"
+    assert licenses.expression_labels(listed) == [*want, "mit"]
+    ways = licenses.evaluate(licenses.parse_expression(" AND ".join(["(A OR B)", *(f"(L{2 * i} OR L{2 * i + 1})" for i in range(7))]))[0])
+    assert len(ways) == 256 and sum("b" in w for w in ways) == 128
+    assert len(licenses.evaluate(licenses.parse_expression(listed)[0])) == 120
+    df = spark.createDataFrame([(1, f"SPDX-License-Identifier: {choices}")], "doc_id long, text string")
+    assert licenses.scan_licenses(df, ["doc_id"]).collect()[0].labels == ",".join(want)
+
+
+def test_labels_are_those_of_the_alternatives():
+    for line in ["(MIT OR Apache-2.0) AND GPL-2.0 WITH CE", "(MIT OR ISC) WITH X", "A OR (B AND (C OR D))", "MIT AND", "(MIT", "MIT and more prose", ""]:
+        postfix = licenses.parse_expression(line)[0]
+        assert licenses.expression_labels(line) == sorted({licenses.family(name) for way in licenses.evaluate(postfix) for name in way})

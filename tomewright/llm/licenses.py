@@ -2,7 +2,7 @@
 
 Texts are matched over their words: A-Z lowered, a word being a longest run of digits, letters and non-ASCII
 characters. One automaton holds the notice phrases and the identifier tag; each place of the tag hands the rest of its
-line to the expression parser, which evaluates ``and`` / ``or`` / ``with`` to the licences named.
+line to the expression parser, which gives ``and`` / ``or`` / ``with`` in postfix order, and all licences named in it.
 
 Cases: null and empty texts have no word and no place; an expression that does not parse names the identifiers read up
 to the fault; a phrase that overlaps another counts at each place; score is 0 without evidence.
@@ -106,7 +106,8 @@ def parse_expression(line: str) -> tuple[list[str], bool]:
 def evaluate(postfix: list[str]) -> list[frozenset[str]]:
     """The ways to satisfy an expression: alternatives (``or``), each a set of licences that hold together.
 
-    ``with`` joins an exception to its licence as ``licence with exception``.
+    ``with`` joins an exception to its licence as ``licence with exception``. All alternatives are listed, and every
+    and-ed choice multiplies them; who needs the licences alone takes :func:`licences_named`.
     """
     stack: list[list[frozenset[str]]] = []
     for token in postfix:
@@ -115,7 +116,7 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
             if token == "or":
                 joined = left + right
             elif token == "and":
-                joined = [a | b for a in left[:64] for b in right[:64]]
+                joined = [a | b for a in left for b in right]
             else:
                 joined = [frozenset(f"{x} with {y}" for x in a for y in b) for a in left for b in right]
             stack.append(list(dict.fromkeys(joined)))
@@ -124,6 +125,21 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
     return [choice for item in stack for choice in item]
 
 
+def licences_named(postfix: list[str]) -> set[str]:
+    """The licences in an expression, without their exceptions; no alternatives are expanded."""
+    stack: list[set[str]] = []
+    for token in postfix:
+        if token in _RANK and len(stack) >= 2:
+            right, left = stack.pop(), stack.pop()
+            if token != "with":
+                left, right = (left, right) if len(left) >= len(right) else (right, left)
+                left |= right
+            stack.append(left)
+        elif token not in _RANK:
+            stack.append({token.lower()})
+    return set().union(*stack)
+
+
 def family(identifier: str) -> str:
     """The label of one identifier, its own lower-case text if its family is unknown."""
     name = identifier.lower().split(" with ")[0]
@@ -132,7 +148,7 @@ def family(identifier: str) -> str:
 
 def expression_labels(line: str) -> list[str]:
     """Labels of all licences that an expression names."""
-    return sorted({family(name) for choice in evaluate(parse_expression(line)[0]) for name in choice})
+    return sorted({family(name) for name in licences_named(parse_expression(line)[0])})
 
 
 def build_automaton() -> ahocorasick.Automaton:
