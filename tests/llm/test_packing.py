@@ -52,6 +52,16 @@ def test_ids_are_the_tokenizers(spark):
     assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_special_tokens_have_their_ids():
+    from tokenizers import Tokenizer
+
+    texts = ["x <|endoftext|> hi", "it<|endoftext|>'s<|startoftext|>ÉTÉ", "<|endoftext|><|endoftext|>\n日本<|startoftext|>語", "a\x1c<|endoftext|>b", "<|ENDOFTEXT|> <| endoftext|>"]
+    fresh = Tokenizer.from_file(PATH)
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.word_encoder(PATH).encode(texts)]
+    assert got == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [343, 49407, 1883]
+
+
 def test_pieces_and_sequences(spark):
     rng = random.Random(4)
     texts = [None, "", "word " * 9000, "same text", "same text"] + [" ".join("ab" * rng.randint(1, 3) for _ in range(rng.randint(1, 1500))) for _ in range(120)]

@@ -49,7 +49,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # a chunk with a special token inside is not split as other chunks are
+        self.special = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -78,6 +79,9 @@ class WordEncoder:
         have, known = self.pieces, self.chunks
         pending: list[tuple[str, str]] = []
         for chunk in chunks:
+            if self.special.search(chunk):
+                known[chunk] = self.whole(chunk)
+                continue
             if chunk.isascii():
                 low = chunk.lower()
             elif max(chunk) <= _LATIN:
