@@ -45,6 +45,18 @@ def test_bin_completion_beats_its_incumbent():
     assert len(packing.complete(sizes, 15)) == 3 <= len(packing.best_fit(sizes, 15))
 
 
+def test_many_bins_do_not_stop_the_search():
+    hard = [41, 41, 30, 30, 29, 29]  # two bins; best fit opens three
+    assert len(packing.best_fit(hard, 100)) == 3 and len(packing.complete(hard, 100)) == 2
+    full = [100] * 4000 + hard
+    bins = packing.complete(full, 100)
+    assert sorted(itertools.chain(*bins)) == list(range(len(full))) and len(bins) == 4002
+    paired = [60, 40] * 3500 + hard  # no piece stands alone
+    bins = packing.complete(paired, 100)
+    assert sorted(itertools.chain(*bins)) == list(range(len(paired))) and all(sum(paired[i] for i in b) <= 100 for b in bins)
+    assert len(bins) < len(packing.best_fit(paired, 100))
+
+
 def test_ids_are_the_tokenizers(spark):
     texts = ["Don't STOP'S it's ''s 'sword x²y ½ été ÉTÉ Σας ΟΔΟΣ İstanbul", "a\x1cb c", "日本語 テスト", "ß ẞ ª º", "<|endoftext|> hi", " \n "]
     encoder = packing.word_encoder(PATH)

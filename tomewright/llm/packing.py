@@ -252,11 +252,21 @@ def _dominates(d: tuple[int, ...], c: tuple[int, ...]) -> bool:
 
 
 def complete(sizes: list[int], capacity: int, nodes: int = 3_000, width: int = 4, depth: int = 2) -> list[list[int]]:
-    """Bins (positions in ``sizes``) of the best packing found by bin completion within ``nodes`` nodes."""
+    """Bins (positions in ``sizes``) of the best packing found by bin completion.
+
+    Pieces that no other piece fits beside stand alone in every packing and are not searched. The search follows
+    ``nodes`` nodes, or four for each bin of best fit if that is more, so it gets to whole packings at any size.
+    """
+    least = min(sizes, default=0)
+    alone = [[i] for i, s in enumerate(sizes) if s + least > capacity]
+    if alone and len(sizes) > 1:
+        rest = [i for i, s in enumerate(sizes) if s + least <= capacity]
+        return alone + [[rest[k] for k in b] for b in complete([sizes[i] for i in rest], capacity, nodes, width, depth)]
     best = best_fit(sizes, capacity)
     bound = lower_bound(sizes, capacity)
     if len(best) <= bound:
         return best
+    nodes = max(nodes, 4 * len(best))
     total = sum(sizes)
     stock = _Stock(sizes)
     path: list[tuple[int, ...]] = []
