@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from tomewright.llm import chat, queries
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -33,6 +35,16 @@ def test_adjacent_turns_of_a_role_share_a_block(spark):
     assert text == "<|im_start|>user\na<|im_sep|>b<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n"
 
 
+def test_learnt_text_follows_the_mask(spark):
+    rows = [(1, 0, "user", "a<|im_end|>"), (1, 1, "assistant", "b🙂<|im_sep|>"), (1, 2, "assistant", "<"), (1, 3, "assistant", "|é"), (1, 4, "user", "c")]
+    made = chat.format_conversations(spark.createDataFrame(rows, SCHEMA))
+    assert chat.read_back(made).collect()[0].loss_text == "b🙂<|im_sep|><|é"
+    other = made.withColumn("loss_runs", F.transform("loss_runs", lambda x: F.struct((x["skip"] + x["learn"]).alias("skip"), F.lit(0).alias("learn"))))
+    assert chat.read_back(other).collect()[0].loss_text == ""
+    later = made.withColumn("loss_runs", F.transform("loss_runs", lambda x, i: F.struct((x["skip"] + F.when(i == 1, 1).otherwise(0)).alias("skip"), x["learn"].alias("learn"))))
+    assert chat.read_back(later).collect()[0].loss_text != "b🙂<|im_sep|><|é"
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(None, None, None, None), (None, 1, "user", None), (2, 1, "user", "x"), (2, 1, "user", "x")]
     df = spark.createDataFrame([(*r, "f", "t") for r in rows], SCHEMA + ", formatted string, turns string")

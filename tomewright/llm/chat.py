@@ -69,8 +69,18 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def read_back(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """Adds to formatted conversations what reading them back gives: turns, and the learnt text in order."""
+def read_mask(formatted: Column, loss_runs: Column) -> Column:
+    """The text under the loss mask: the spans to learn, cut from the string by code points, unescaped each and joined."""
+
+    def step(done: Column, run: Column) -> Column:
+        span = F.substring(formatted, done["at"] + run["skip"], run["learn"])
+        return F.struct((done["at"] + run["skip"] + run["learn"]).alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("spans"))
+    return F.aggregate(loss_runs, start, step, lambda done: F.array_join(F.transform(done["spans"], unescape), ""))
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """Adds to formatted conversations what reading them back gives: turns, and the text under the loss mask in order."""
     parsed = formatted.withColumn("turns", read_turns(F.col("formatted")))
-    learnt = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: t["text"]), "")
-    return parsed.withColumn("loss_text", learnt)
+    return parsed.withColumn("loss_text", read_mask(F.col("formatted"), F.col("loss_runs")))
