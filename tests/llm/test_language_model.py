@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tomewright.llm import language_model as lm
 
@@ -59,3 +60,15 @@ def test_without_training_text(spark):
     assert got[0].train_tokens == 0 and got[0].n_known == 0 and got[0].n_tokens == 3
     assert got[0].base_score == 0 and math.isfinite(got[0].score)
     assert lm.fit_and_score(df.limit(0), "not held", ["doc_id"], shortlist=5, dim=2).count() == 0
+
+
+def test_a_small_task_learns_all_its_texts_as_often(spark):
+    """Two texts alike but for their words, in one task and too long for one run."""
+    texts = [" ".join([f"{a}{'o' * 30}", f"{a}{'e' * 30}", f"{a}{'u' * 30}"] * 7_000) for a in "xy"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    counts = lm.count_words(df)
+    vocab = lm.vocabulary(counts, shortlist=6)
+    t = lm.tables(lm.train(df, vocab, dim=8))
+    slots = [vocab.look_up(next(lm._tokens(pa.array([x[:400]])))[3][:3])[0] for x in texts]
+    x, y = (float(t.near[b, c] + t.far[a, c] + t.bias[c] - t.norm[b, a]) for a, b, c in slots)
+    assert abs(x - y) < 0.1 and min(x, y) > -0.5

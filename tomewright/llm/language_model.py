@@ -192,10 +192,25 @@ def _contexts(vocab: Vocabulary, row: np.ndarray, h: np.ndarray, rows: int) -> t
     return row, slot, one, two, count
 
 
+def _learn(trainer: Trainer, runs: Iterator[tuple[np.ndarray, ...]], least: int) -> int:
+    """Train on all runs, and on all of them again until ``least`` tokens are seen; returns the tokens of one pass."""
+    kept = []  # all runs so far, while they are few enough to be needed again
+    for run in runs:
+        trainer.train(*run)
+        kept.append(run)
+        if trainer.seen >= least:
+            kept.clear()
+    tokens = trainer.seen
+    while kept and trainer.seen < least:
+        for run in kept:
+            trainer.train(*run)
+    return tokens
+
+
 def train(texts: DataFrame, vocab: Vocabulary, dim: int = 24, rounds: int = 1, text: str = "text", least_steps: int = 400) -> Parameters:
     """Rounds of local training over all texts, parameters averaged by tokens after each.
 
-    A task with few tokens goes over them again until it has made ``least_steps`` steps.
+    A task with few tokens goes over all of them again until it has made ``least_steps`` steps.
     """
     spark = texts.sparkSession
     at, slots = start(vocab, dim), len(vocab.slot_counts)
@@ -205,20 +220,18 @@ def train(texts: DataFrame, vocab: Vocabulary, dim: int = 24, rounds: int = 1, t
 
         def run(source: Iterator[pa.RecordBatch], shared=shared, step=step) -> Iterator[pa.RecordBatch]:
             v = shared_vocab.value
-            trainer = None
-            for batch in batches(source):
-                for i, j, row, h in _tokens(batch.column(0)):
-                    if trainer is None:
-                        trainer = Trainer(Parameters.from_flat(shared.value, slots, dim), v.slot_counts, seed=1 + 1000 * step + TaskContext.get().partitionId())
-                    _, w, one, two, _ = _contexts(v, row, h, j - i)
-                    order = np.random.default_rng(len(w)).permutation(len(w))
-                    trainer.train(one[order], two[order], w[order])
-                    kept = (one[order], two[order], w[order])
-            if trainer is None:
+            trainer = Trainer(Parameters.from_flat(shared.value, slots, dim), v.slot_counts, seed=1 + 1000 * step + TaskContext.get().partitionId())
+
+            def runs() -> Iterator[tuple[np.ndarray, ...]]:
+                for batch in batches(source):
+                    for i, j, row, h in _tokens(batch.column(0)):
+                        _, w, one, two, _ = _contexts(v, row, h, j - i)
+                        order = np.random.default_rng(len(w)).permutation(len(w))
+                        yield one[order], two[order], w[order]
+
+            tokens = _learn(trainer, runs(), least_steps * trainer.batch)
+            if not tokens:
                 return
-            tokens = trainer.seen
-            while trainer.seen < least_steps * trainer.batch:
-                trainer.train(*kept)
             x = trainer.p.flat().astype(np.float64)
             yield pa.RecordBatch.from_pydict({"i": np.arange(len(x)), "x": x * tokens, "n": np.full(len(x), float(tokens))})
 
