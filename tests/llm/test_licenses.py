@@ -68,6 +68,23 @@ def test_no_licence_of_a_long_expression_is_lost(spark):
 
 
 def test_labels_are_those_of_the_alternatives():
-    for line in ["(MIT OR Apache-2.0) AND GPL-2.0 WITH CE", "(MIT OR ISC) WITH X", "A OR (B AND (C OR D))", "MIT AND", "(MIT", "MIT and more prose", ""]:
+    for line in ["(MIT OR Apache-2.0) AND GPL-2.0 WITH CE", "(MIT OR ISC) WITH X", "A OR (B AND (C OR D))", "MIT AND", "(MIT", ""]:
         postfix = licenses.parse_expression(line)[0]
         assert licenses.expression_labels(line) == sorted({licenses.family(name) for way in licenses.evaluate(postfix) for name in way})
+
+
+def test_prose_names_no_licence(spark):
+    for line, want in [("see below", []), ("see LICENSE file", []), ("Zlib */", ["zlib"]), ("MIT and more prose", ["mit"]), ("MIT for this file", ["mit"]), ("Zlib-acknowledgement see there", ["zlib-acknowledgement"]), ("NONE", []), ("NOASSERTION", []), ("mitigate this", [])]:
+        assert licenses.expression_labels(line) == want, line
+    df = spark.createDataFrame([(1, "SPDX-License-Identifier: see below")], "doc_id long, text string")
+    assert [(r.labels, r.score) for r in licenses.scan_licenses(df, ["doc_id"]).collect()] == [("", 0.0)]
+
+
+def test_many_places_in_linear_time():
+    import time
+
+    automaton = licenses.build_automaton()
+    began = time.process_time()
+    found = licenses.scan_text(automaton, "the mit license or " * 100_000)
+    assert (found["n_base"], found["first_word"], found["last_word"]) == (100_000, 1, 399_997)
+    assert time.process_time() - began < 8

@@ -4,6 +4,10 @@ Texts are matched over their words: A-Z lowered, a word being a longest run of d
 characters. One automaton holds the notice phrases and the identifier tag; each place of the tag hands the rest of its
 line to the expression parser, which gives ``and`` / ``or`` / ``with`` in postfix order, and all licences named in it.
 
+Where an expression takes all of its line, every identifier in it names a licence. Where prose follows (``see below``,
+``MIT for this file``), only those do whose family is known or that hold a digit, a hyphen or a plus sign, as registered
+identifiers do. ``NONE`` and ``NOASSERTION`` name none.
+
 Cases: null and empty texts have no word and no place; an expression that does not parse names the identifiers read up
 to the fault; a phrase that overlaps another counts at each place; score is 0 without evidence.
 """
@@ -61,9 +65,14 @@ def parse_expression(line: str) -> tuple[list[str], bool]:
 
     Returns the postfix tokens and whether the whole expression was well-formed; reading stops at the first fault.
     """
+    return _parse(line)[:2]
+
+
+def _parse(line: str) -> tuple[list[str], bool, bool]:
+    """:func:`parse_expression`, and whether an operand follows where the expression had ended: prose."""
     output: list[str] = []
     stack: list[str] = []
-    expects_operand, whole = True, True
+    expects_operand, whole, prose = True, True, False
     for token in _TOKEN.findall(line):
         word = token.lower()
         if expects_operand:
@@ -88,7 +97,7 @@ def parse_expression(line: str) -> tuple[list[str], bool]:
                 break
             stack.pop()
         else:
-            whole = "(" not in stack  # prose after a whole expression
+            whole, prose = "(" not in stack, True
             break
     if expects_operand:
         whole = False
@@ -100,7 +109,7 @@ def parse_expression(line: str) -> tuple[list[str], bool]:
             whole = False
         else:
             output.append(top)
-    return output, whole
+    return output, whole, prose
 
 
 def evaluate(postfix: list[str]) -> list[frozenset[str]]:
@@ -146,9 +155,18 @@ def family(identifier: str) -> str:
     return next((label for prefix, label in sorted(FAMILIES.items(), key=lambda x: -len(x[0])) if name.startswith(prefix)), name.rstrip("+"))
 
 
+def is_licence(identifier: str) -> bool:
+    """Whether an identifier can name a licence: a known family, or a digit, hyphen or plus sign among its letters."""
+    name = identifier.lower()
+    if any(name == prefix or re.match(rf"{re.escape(prefix)}[^a-z]", name) for prefix in FAMILIES):
+        return True
+    return any(c in "0123456789-+" for c in name) and any(c.isalpha() for c in name)
+
+
 def expression_labels(line: str) -> list[str]:
     """Labels of all licences that an expression names."""
-    return sorted({family(name) for name in licences_named(parse_expression(line)[0])})
+    postfix, _, prose = _parse(line)
+    return sorted({family(name) for name in licences_named(postfix) if name not in ("none", "noassertion") and (not prose or is_licence(name))})
 
 
 def build_automaton() -> ahocorasick.Automaton:
@@ -168,9 +186,13 @@ def scan_text(automaton: ahocorasick.Automaton, text: str | None) -> dict:
     base: list[int] = []
     base_labels, labels, spans = set(), set(), []
     tagged = False
+    places: dict[int, int] = {}
+    seen = place = 0
+    for start in sorted({end - length + 1 for end, (_, _, length) in automaton.iter(line)}):  # each stretch counts once
+        place += line.count(" ", seen, start)
+        seen, places[start] = start, place
     for end, (kind, label, length) in automaton.iter(line):
-        start = end - length + 1
-        place = line.count(" ", 0, start)
+        place = places[end - length + 1]
         if kind == "base":
             base.append(place)
             base_labels.add(label)
