@@ -96,3 +96,25 @@ def test_tree_loses_no_pair():
             n = len(np.intersect1d(sets[i], sets[j]))
             if part[i] != part[j] and 100 * n >= 85 * (sizes[i] + sizes[j] - n):
                 assert (j, i) in found
+
+
+def test_counts_of_any_size_keep_the_bound():
+    rng = np.random.default_rng(2)
+    huge = rng.integers(0, 2**63, 400_000, dtype=np.uint64)
+    for sets in ([huge, huge[:390_000]], [huge[:40], huge[:38], huge[5:90]], [np.repeat(huge[:1], 70_000), np.repeat(huge[:1], 70_000)]):
+        points = jj.fold([jj.count_point(s) for s in sets])
+        assert [int(p.sum()) for p in points] == [len(s) for s in sets]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                assert np.minimum(points[i], points[j]).sum() >= len(np.intersect1d(a, b))
+
+
+def test_a_cell_returns_fewer_links_than_parts():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 2**63, 3, dtype=np.uint64)])) for _ in range(300)]
+    sets += [np.unique(np.concatenate([base[:85], rng.integers(0, 2**63, 25, dtype=np.uint64)])) for _ in range(50)]
+    links = jj.links_in_cell(np.arange(350), sets, 85)
+    assert len(links) == 299 and max(max(p) for p in links) < 300
+    left = jj.with_partners(np.arange(350), np.array([len(s) for s in sets]), [jj.count_point(s) for s in sets], 85)
+    assert left[:300].all()

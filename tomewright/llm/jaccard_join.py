@@ -11,9 +11,16 @@ ranges: linked sets agree on the whole content of at least 1 + s ranges. Each (b
 empty range is content like any other, but only sets with more than s empty ranges need its shard; so linked sets always
 share a shard. A set goes to the bands its own and its largest partner's size lie in.
 
-Work per shard is kept linear where sets are alike: a round of stars verifies each member against the shard's best
-connected member; only shards that still hold more than one component grow trees, which return pairs across components
-only. Shards beyond ``cell`` members are joined block by block. Exact copies count once, by their set's hash.
+Shard keys and points are stored once, an array a text, and the keys joined slice by slice of the key space, so one
+slice's shuffle is on disk at a time. Of shards with the same members one stays. A round of stars then meets each member
+with its shard's best connected member and verifies what the bound leaves, which joins what is alike in linear work.
+N-grams are read again from the texts, of those sets only that have something to verify. Only shards that still hold several components
+are searched, a shard's sets standing in one cell: trees over the points name the sets that the bound leaves a partner
+in another component; only those bring their n-grams to the cell, where the pairs the bound leaves are verified at once
+and links join components as the search goes on, so a cell returns fewer links than it has components. A shard of more than
+``cell`` sets is cut by a second key before, a gram among the rarest of the shard that every linked pair must share
+(prefix filter: of n n-grams, the n - ceil(t n) + 1 rarest); what is still larger is met block by block. Exact copies
+count once, by their set's hash.
 
 Cases: null, empty and wordless texts have size 0, link with nothing and are their own component; a text with fewer
 words than n has its whole sequence as one n-gram; repeated rows are exact copies; a null id never names a component
@@ -28,12 +35,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
 from .components import connected_components
-from .workspace import batches, bit_filter, in_filter, release, row_slices, text_buffers, written
+from .workspace import Scratch, batches, bit_filter, in_filter, row_slices, text_buffers
 from .words import mix
 
 _U = np.uint64
@@ -138,21 +145,23 @@ def shard_keys(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndar
 
 
 def point_width(size: int) -> int:
-    """Coordinates of a set's point: about one for two n-grams, from 16 to 1024."""
-    return min(1024, max(16, 1 << max(0, int(size) // 2 - 1).bit_length()))
+    """Coordinates of a set's point: about one for each n-gram, a power of two from 16 to 4096."""
+    return min(4096, max(16, 1 << max(0, int(size) - 1).bit_length()))
 
 
 def count_point(grams: np.ndarray) -> bytes:
-    """Counts of the groups that n-grams hash into, as little-endian 16-bit words (a count beyond is cut to the most)."""
+    """Counts of the groups that n-grams hash into, in the narrowest integers that hold them, after a byte that names these."""
     width = point_width(len(grams))
-    counts = np.bincount(((grams * _U(0xD1342543DE82EF95)) >> _U(54)).astype(np.int64) & (width - 1), minlength=width)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
+    counts = np.bincount(((grams * _U(0xD1342543DE82EF95)) >> _U(52)).astype(np.int64) & (width - 1), minlength=width)
+    kind = np.min_scalar_type(int(counts.max()))
+    return str(kind.itemsize).encode() + counts.astype(kind).tobytes()
 
 
 def fold(points: list[bytes]) -> np.ndarray:
     """Points of any widths as rows of the least width among them: groups are summed, which keeps the bound valid."""
-    width = min(len(p) for p in points) // 2
-    return np.stack([np.frombuffer(p, "<u2").reshape(-1, width).sum(0, dtype=np.int32) for p in points])
+    read = [np.frombuffer(p, f"<u{p[:1].decode()}", offset=1) for p in points]
+    width = min(map(len, read))
+    return np.stack([p.reshape(-1, width).sum(0, dtype=np.int32) for p in read])
 
 
 class RTree:
@@ -213,165 +222,260 @@ def _runs(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndar
         yield i, j, grams, at, mix(_sums(mix(grams), at) + np.diff(at).astype(_U)).view(np.int64)
 
 
-def _members(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, n, fp): size and hash of every text's set."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source):
-            for i, j, _, at, fp in _runs(batch, width):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(fp)], names=["doc_id", "n", "fp"])
-
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n long, fp long")
-
+def _lists(at: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
 
-def _shard_rows(docs: DataFrame, text: str, width: int, percent: int, only: np.ndarray | None = None, slice_: tuple[int, int] = (0, 1)) -> DataFrame:
-    """(key, fp) of every text's shards in one slice of the key space; with a bit filter, of the shards it may hold.
 
-    Computed anew, never stored.
-    """
-    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
+def _keyed(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """(doc_id, n, fp, point, keys): size and hash of every text's set, its point and its shard keys."""
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
-            for _, _, grams, at, fp in _runs(batch, width):
+            for i, j, grams, at, fp in _runs(batch, width):
                 key, row = shard_keys(grams, at, percent)
-                if slice_[1] > 1:
-                    mine = (key >> _U(40)) % _U(slice_[1]) == slice_[0]
-                    key, row = key[mine], row[mine]
-                key = key.view(np.int64)
-                if shared is not None:
-                    ok = in_filter(shared.value, key)
-                    key, row = key[ok], row[ok]
-                for k in range(0, len(key), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 200_000]), pa.array(fp[row[k : k + 200_000]])], names=["key", "fp"])
+                order = np.argsort(row, kind="stable")
+                points = [count_point(grams[a:b]) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
+                columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(fp), pa.array(points, pa.binary()), _lists(np.searchsorted(row[order], np.arange(j - i + 1)), key[order])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fp", "point", "keys"])
 
-    return docs.select(F.lit(0).alias("z"), F.col(text)).mapInArrow(run, "key long, fp long")
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n long, fp long, point binary, keys array<long>")
 
 
-def _needed_sets(docs: DataFrame, doc_id: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(fp, n, point, grams) of the sets in ``wanted`` (doc_id, fp), one row each."""
+def _sets_of(docs: DataFrame, doc_id: str, text: str, width: int, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, n, grams) of the sets ``wanted`` (fp), one row each; read from one text of each, picked by a filter on ids."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("doc_id").alias("k")), "k"))
+    one = members.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    shared = spark.sparkContext.broadcast(bit_filter(one.select(F.xxhash64("doc_id").alias("k")), "k"))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches(source):
             batch = batch.filter(pa.array(in_filter(bits, batch.column(0).to_numpy(zero_copy_only=False))))
             for _, _, grams, at, fp in _runs(batch, width):
-                points = [count_point(grams[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp), pa.array(np.diff(at), pa.int64()), pa.array(points, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(grams.view(np.int64)))],
-                    names=["fp", "n", "point", "grams"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(np.diff(at), pa.int64()), _lists(at, grams)], names=["fp", "n", "grams"])
 
-    scanned = docs.select(F.xxhash64(doc_id).alias("k"), F.col(text)).mapInArrow(run, "fp long, n long, point binary, grams array<long>")
-    exact = scanned.join(wanted.select("fp").distinct(), "fp", "left_semi")
-    return exact.groupBy("fp").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("grams").alias("grams"))
+    scanned = docs.select(F.xxhash64(doc_id).alias("k"), F.col(text)).mapInArrow(run, "fp long, n long, grams array<long>")
+    return scanned.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, slices: int) -> DataFrame:
-    """The pairs (a, b) of set hashes that link: the overlap of the sets themselves decides. Slice by slice of b."""
-    out = None
+def _shards(keyed: DataFrame, scratch: Scratch, slices: int) -> DataFrame:
+    """(key, fp) of the shards that hold two or more different sets; of shards with equal members the one of least key."""
+    found = []
     for k in range(slices):
-        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(slices)) == k  # noqa: B023, E731
-        b = sets.where(mine("fp")).select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
-        a = sets.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
-        total = F.col("n_a") + F.col("n_b")
-        sized = pairs.where(mine("b")).join(a.select("a", "n_a"), "a").join(b.select("b", "n_b"), "b").where(F.least("n_a", "n_b") * (100 + percent) >= percent * total)
-        met = sized.select("a", "b").join(b, "b").join(a, "a")
-        linked = met.where(F.size(F.array_intersect("g_a", "g_b")) * (100 + percent) >= percent * total).select("a", "b")
-        part = written(linked, "links")
-        del b, a, sized, met, linked
-        release(pairs.sparkSession)
-        out = part if out is None else out.unionByName(part)
-    return out
+        mine = keyed.select("fp", F.explode("keys").alias("key")).where(F.pmod(F.shiftright("key", 40), F.lit(slices)) == k)
+        # copies of a set combine in their task: a key has one row a task here, and all its rows are split in the join
+        several = scratch.keep(mine.groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("key"), "several")
+        found.append(scratch.keep(mine.join(several, "key", "left_semi").groupBy("key", "fp").agg(F.count("*").alias("copies")).select("key", "fp"), f"hits{k}"))
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    shards = scratch.keep(_once(hits), "shards")
+    scratch.drop("several", *(f"hits{k}" for k in range(slices)))
+    return shards
+
+
+def _once(shards: DataFrame) -> DataFrame:
+    """Of shards with the same members only that of the least key."""
+    # two hashes combined by xor, and the number, name the members of a shard
+    named = shards.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("s"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("t"))
+    once = named.groupBy("m", "s", "t").agg(F.min("key").alias("key"))
+    return shards.join(once.select("key"), "key", "left_semi")
+
+
+def _stars(shards: DataFrame) -> DataFrame:
+    """(a, b): every member of a shard with the shard's best connected member."""
+    degree = shards.groupBy("fp").agg(F.count("*").alias("degree"))
+    centre = shards.join(degree, "fp").groupBy("key").agg(F.max(F.struct("degree", "fp")).alias("m")).select("key", F.col("m.fp").alias("centre"))
+    return shards.join(centre, "key").where("fp <> centre").select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose summed coordinate minima can reach the overlap that a link needs."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            ok = np.zeros(batch.num_rows, dtype=bool)
+            for i, (total, p, q) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
+                x, y = fold([p, q])
+                ok[i] = np.minimum(x, y).sum() * (100 + percent) >= percent * total
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
+
+    a = points.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p"))
+    b = points.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("q"))
+    total = F.col("n_a") + F.col("n_b")
+    sized = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") * (100 + percent) >= percent * total)
+    return sized.select("a", "b", total.alias("total"), "p", "q").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set hashes that link: the overlap of the sets themselves decides."""
+    a = sets.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
+    b = sets.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
+    common = F.size(F.array_intersect("g_a", "g_b"))
+    return pairs.join(b, "b").join(a, "a").where(common * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that the R-tree of each cell leaves; members: key, lo, hi, fp, part, n, point.
+def links_in_cell(part: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (part, part) that join the parts of a cell wherever two of their sets link; fewer than there are parts.
 
-    Rows of a cell stand together in a partition and are read as a stream, so only one cell is in memory.
+    The tree names the pairs of sets whose bound reaches the overlap a link needs; they are verified by marking one
+    set's n-grams and counting the marks in the others. Sets whose parts are joined already are not met again.
     """
+    names, label = np.unique(part, return_inverse=True)
+    if len(names) == 1:
+        return []
+    own = label.copy()
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    grams, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(grams), dtype=bool)
+    out = []
+    for x, y in RTree(fold([count_point(s) for s in sets]), sizes).pairs(percent, label):  # label changes as the search goes on
+        begins = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        for a, b in zip(begins, [*begins[1:], len(x)], strict=True):
+            u, others = x[a], y[a:b]
+            others = others[label[others] != label[u]]
+            if not len(others):
+                continue
+            mark[ids[at[u] : at[u + 1]]] = True
+            first = np.cumsum(sizes[others]) - sizes[others]
+            within = np.repeat(at[others] - first, sizes[others]) + np.arange(sizes[others].sum())
+            common = np.add.reduceat(mark[ids[within]].astype(np.int64), first)
+            mark[ids[at[u] : at[u + 1]]] = False
+            for w in others[common * (100 + percent) >= percent * (sizes[u] + sizes[others])]:
+                if label[w] != label[u]:
+                    out.append((int(names[own[u]]), int(names[own[w]])))
+                    label[label == label[w]] = label[u]
+    return out
+
+
+def with_partners(part: np.ndarray, sizes: np.ndarray, points: list[bytes], percent: int) -> np.ndarray:
+    """Which sets of a cell the bound leaves a partner of another part."""
+    left = np.zeros(len(part), dtype=bool)
+    if (part != part[0]).any():
+        for x, y in RTree(fold(points), sizes).pairs(percent, part):
+            left[x] = left[y] = True
+    return left
+
+
+def _by_cell(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(cell, rows) of a stream sorted by its first three columns; rows hold the others, arrays as numpy."""
+    cell, rows = None, []
+    for batch in batches(source):
+        columns = [c if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
+        for name, *row in zip(zip(*columns[:3], strict=True), *columns[3:], strict=True):
+            if name != cell:
+                if rows:
+                    yield cell, rows
+                cell, rows = name, []
+            rows.append(tuple(x.values.to_numpy().view(_U).copy() if isinstance(x, pa.ListScalar) else x for x in row))
+    if rows:
+        yield cell, rows
 
-    def flush(rows: list[tuple]) -> list[tuple[int, int]]:
-        fps, parts = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        if (parts == parts[0]).all():
-            return []
-        tree = RTree(fold([r[3] for r in rows]), np.array([r[2] for r in rows], dtype=np.int64))
-        found = set()
-        for x, y in tree.pairs(percent, parts):
-            p, q = np.minimum(fps[x], fps[y]), np.maximum(fps[x], fps[y])
-            found.update(zip(p.tolist(), q.tolist(), strict=True))
-        return list(found)
+
+def _dealt(cells: DataFrame, *columns: str) -> DataFrame:
+    """Rows of a cell stand together in a partition and are read as a stream, so only one cell is in memory."""
+    keys = ["key", "lo", "hi"]
+    return cells.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _surviving(cells: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, lo, hi, fp, part) of cells that the bound leaves a partner; cells: key, lo, hi, fp, part, n, point."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, rows, out = None, [], []
+        out: list[tuple] = []
+        for cell, rows in _by_cell(source):
+            fp, part, sizes, points = zip(*rows, strict=True)
+            left = with_partners(np.array(part), np.array(sizes), list(points), percent)
+            out += [(*cell, fp[i], part[i]) for i in np.flatnonzero(left)]
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["key", "lo", "hi", "fp", "part"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["key", "lo", "hi", "fp", "part"])
 
-        def ready(least: int) -> Iterator[pa.RecordBatch]:
-            if len(out) > least:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
-                out.clear()
+    return _dealt(cells, "fp", "part", "n", "point").mapInArrow(run, "key long, lo long, hi long, fp long, part long")
 
-        for batch in batches(source):
-            for key, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, lo, hi) != cell:
-                    out += flush(rows) if len(rows) > 1 else []
-                    cell, rows = (key, lo, hi), []
-                    yield from ready(20_000)
-                rows.append(tuple(row))
-        out += flush(rows) if len(rows) > 1 else []
-        yield from ready(0)
 
-    dealt = members.select("key", "lo", "hi", "fp", "part", "n", "point").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def _cell_links(cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between parts from every cell; cells: key, lo, hi, part, grams."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_cell(source):
+            parts, sets = zip(*rows, strict=True)
+            if found := links_in_cell(np.array(parts), list(sets), percent):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
+    return _dealt(cells, "part", "grams").mapInArrow(run, "a long, b long").distinct()
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", cell: int = 2048, slices: int = 1) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of every row.
 
-    Two rows link when 100 * |intersection| >= percent * |union| of their sets of ``width`` words.
+def _split(parted: DataFrame) -> DataFrame:
+    """(key, m) of the shards that hold several parts, with their number of sets."""
+    return parted.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", "m")
+
+
+def _finer(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (key, fp, part) of large shards under second keys: linked sets of a shard share one at least.
+
+    Both hold one of their n - ceil(t n) + 1 n-grams that are rarest in the shard, whatever else they share, so text
+    that all members have in common brings none of them together.
     """
-    spark = docs.sparkSession
-    members = written(_members(docs, doc_id, text, width), "members")
+    grams = large.join(sets, "fp").select("key", "fp", "part", "n", F.explode("grams").alias("gram"))
+    common = grams.groupBy("key", "gram").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("key", "fp").orderBy("held", "gram")
+    ranked = grams.join(common, ["key", "gram"]).withColumn("place", F.row_number().over(order))
+    rare = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    return rare.select(F.xxhash64("key", "gram").alias("key"), "fp", "part")
 
-    # shards of two or more different sets: one row per key and task reaches the shuffle
-    # the key space goes in slices, so that only one slice's shuffle is on disk at a time
-    multi = None
-    for k in range(slices):
-        pairs = _shard_rows(docs, text, width, percent, slice_=(k, slices)).groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
-        part = written(pairs.select("key"), "shards")
-        del pairs
-        release(spark)
-        multi = part if multi is None else multi.unionByName(part)
-    kept = _shard_rows(docs, text, width, percent, bit_filter(multi, "key", 25))
-    hits = written(kept.join(multi, "key", "left_semi").groupBy("key", "fp").agg(F.count("*").alias("copies")).select("key", "fp"), "hits")
-    release(spark)
-
-    degree = hits.groupBy("fp").agg(F.count("*").alias("degree"))
-    centre = hits.join(degree, "fp").groupBy("key").agg(F.max(F.struct("degree", "fp")).alias("m")).select("key", F.col("m.fp").alias("centre"))
-    star = hits.join(centre, "key").where("fp <> centre").select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
-    star = written(star, "stars")
-    wanted = degree.select("fp").join(members.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fp")
-    sets = written(_needed_sets(docs, doc_id, text, width, wanted), "needed", "none")
-    release(spark)
-    links = _verified(star, sets, percent, slices)
-    labels = connected_components(links)
-
-    # shards that still hold several components grow R-trees
-    parted = hits.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("part"))
-    parted = written(parted, "parted")
-    split = parted.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", F.ceil(F.col("m") / cell).alias("blocks"))
-    placed = parted.join(split, "key").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks")).withColumn("each", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = placed.select("key", F.least("own", "each").alias("lo"), F.greatest("own", "each").alias("hi"), "fp", "part").join(sets.select("fp", "n", "point"), "fp")
-    more = _verified(written(_tree_pairs(cells, percent), "tree-pairs"), sets, percent, slices)
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
-
-    named = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("label", "fp"))
-    named = written(named.select("doc_id", "n", "part"), "named")
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", cell: int = 2048, slices: int = 4) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of every row.
+
+    Two rows link when 100 * |intersection| >= percent * |union| of their sets of ``width`` words. ``doc_id`` may be of
+    any type that has an order, a struct too.
+    """
+    scratch = Scratch(docs.sparkSession)
+    keyed = scratch.keep(_keyed(docs, doc_id, text, width, percent), "keyed", "lz4")
+    members = scratch.keep(keyed.select("doc_id", "n", "fp"), "members")
+    shards = _shards(keyed, scratch, slices)
+    held = shards.select("fp").distinct()
+    points = scratch.keep(keyed.select("fp", "n", "point").join(held, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("point").alias("point")), "points")
+    scratch.drop("keyed")
+
+    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
+        return scratch.keep(_sets_of(docs, doc_id, text, width, members, wanted.distinct()), name, "lz4")
+
+    stars = scratch.keep(_bounded(_stars(shards), points, percent), "stars")
+    sets = sets_of(stars.select(F.explode(F.array("a", "b")).alias("fp")), "sets")
+    labels = connected_components(scratch.keep(_verified(stars, sets, percent), "links"))
+    parted = shards.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("part"))
+    parted = scratch.keep(parted, "parted")
+    scratch.drop("shards", "stars", "sets")
+
+    # shards that still hold several parts grow R-trees, the large ones after a finer cut
+    split = scratch.keep(_split(parted), "split")
+    placed = parted.join(split.where(F.col("m") <= cell), "key").select("key", "fp", "part", "m")
+    large = parted.join(split.where(F.col("m") > cell).select("key"), "key", "left_semi")
+    if not large.isEmpty():
+        finer = scratch.keep(_finer(large, sets_of(large.select("fp"), "sets"), percent), "finer")
+        finer = scratch.keep(_once(finer.join(_split(finer), "key")).select("key", "fp", "part", "m"), "finer")
+        placed = placed.unionByName(finer)
+        scratch.drop("sets")
+    blocks = F.ceil(F.col("m") / cell)
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("fp"), blocks)).withColumn("each", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    cells = placed.select("key", F.least("own", "each").alias("lo"), F.greatest("own", "each").alias("hi"), "fp", "part")
+    left = scratch.keep(_surviving(cells.join(points, "fp"), percent), "left")
+    scratch.drop("points")
+    sets = sets_of(left.select("fp"), "sets")
+    joined = connected_components(scratch.keep(_cell_links(left.join(sets.select("fp", "grams"), "fp"), percent), "joined"))
+
+    wider = parted.select("fp", "part").distinct().join(joined.withColumnRenamed("node", "part").withColumnRenamed("label", "whole"), "part", "left").select("fp", F.coalesce("whole", "part").alias("label"))
+    named = members.join(wider, "fp", "left").select("doc_id", "n", F.coalesce("label", "fp").alias("part"))
+    named = scratch.keep(named, "named")
+    scratch.drop("members", "sets", "links", "parted", "split", "finer", "left", "joined")
     # a table of its own, so that the join below can split a component that holds very many rows
-    first = written(named.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("first_id")), "first")
+    first = scratch.keep(named.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("first_id")), "first")
     linked = named.where("n > 0").join(first, "part").select("doc_id", "n", "first_id")
     alone = named.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("first_id"))
     return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("first_id").alias("component_id"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .workspace import batches, collected, release, row_slices, text_buffers, written
+from .workspace import batches, collected, row_slices, text_buffers, written
 
 CHUNK = 1 << 20
 #: The hash under which the end of a text is counted; no word is empty, so no word has it by construction of hashing.
@@ -340,6 +340,5 @@ def fit_and_score(docs: DataFrame, is_training: str, id_cols: list[str], text: s
     """Learn from the rows that ``is_training`` (SQL) selects and score every row."""
     training = docs.where(is_training)
     counts = written(count_words(training, text), "word-counts")
-    release(docs.sparkSession)
     vocab = vocabulary(counts, shortlist)
     return score(docs, vocab, tables(train(training, vocab, dim, text=text)), counts, id_cols, text)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -10,17 +9,27 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+#: Spark's own setting: a query's shuffle files go when the query ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a local master (one machine, as in tests); on a cluster executors
+    would write into folders of their own, so there it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="tomewright-")
@@ -44,18 +53,44 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _write(df: DataFrame, path: str, codec: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives a lost executor.
+
+    The shuffle files that made it are dropped as soon as it is written.
+    """
+    return _write(df, new_folder(df.sparkSession, name), codec)
+
+
+class Scratch:
+    """Written tables of one run, by name; a table that a later one supersedes can be dropped at once."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        """Write ``df`` under a name and read it back; a table of that name is dropped afterwards."""
+        path, old = new_folder(self.spark, name), self.paths.get(name)
+        out = _write(df, path, codec)
+        self.paths[name] = path
+        if old:
+            remove_folder(self.spark, old)
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                remove_folder(self.spark, path)
 
 
 def collected(df: DataFrame) -> pd.DataFrame:
@@ -92,6 +127,20 @@ def row_slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def with_row_key(docs: DataFrame, name: str, first: str) -> DataFrame:
+    """``docs`` with a struct column ``name`` that no two rows share and that every scan gives a row again.
+
+    It orders by the column ``first``, nulls last, then by the row's place in its file; rows that come from no file are
+    written first.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+    key = F.struct(F.col(first).isNull().alias("nameless"), F.col(first).alias("id"), *place).alias(name)
+    try:
+        return docs.select("*", key)
+    except AnalysisException:
+        return written(docs, "rows").select("*", key)
+
+
 def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches that have rows."""
     return (b for b in source if b.num_rows)
