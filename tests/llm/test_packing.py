@@ -95,3 +95,24 @@ def test_pieces_and_sequences(spark):
         total += 1
     assert total <= -(-sum(r.length for r in out) // 4096) + 2
     assert packing.pack(packing.token_pieces(df.limit(0), PATH)).count() == 0
+
+
+def test_many_small_pieces_do_not_nest():
+    sizes = [1400] * 101 + [1] * 2500
+    bins = packing.complete(sizes, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in b) <= 4096 for b in bins) and len(bins) <= len(packing.best_fit(sizes, 4096))
+
+
+def test_kept_ids_are_bounded(monkeypatch):
+    import public_tokenizers
+
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "KEPT_CHUNKS", 3)
+    monkeypatch.setattr(packing, "KEPT_PIECES", 3)
+    texts = ["one two three four five", "x" * 500 + " one", "six seven eight nine ten", "one"]
+    for text in texts * 2:
+        assert encoder.encode([text]) == [encoder.whole(text)]
+        assert all(len(c) <= packing.KEPT_CHARS for c in encoder.chunks)
+    encoder.forget()
+    assert not encoder.chunks and not encoder.pieces

@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised texts into sequences by bin completion.
 
 Texts become token ids once, word by word: white space never stands inside a pre-token, so a text's ids are those of its
-chunks between white space, and a chunk's ids are kept while the worker lives. Texts longer than a sequence are cut into
+chunks between white space, and the ids of short chunks are kept while a task lasts. Texts longer than a sequence are cut into
 full pieces and a rest. Pieces are dealt by a hash into blocks of bounded size; each block is solved by branch and
 bound: the largest piece left opens a bin, its undominated fillings are tried from the least waste on, a branch ends
 when its waste exceeds what a better solution may waste, and best-fit decreasing is the first incumbent. Bins that stay
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .workspace import batches, written
 
-#: Chunks and pre-tokens whose ids a worker keeps; it starts over beyond that, which costs time only.
-KEPT_CHUNKS, KEPT_PIECES = 700_000, 900_000
+#: Chunks and pre-tokens of at most so many characters whose ids a task keeps (about 0.2 KB each); it starts over
+#: beyond that number, which costs time only.
+KEPT_CHUNKS, KEPT_PIECES, KEPT_CHARS = 300_000, 300_000, 48
 _SEPARATOR = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed: the tokenizer's own split
 _LATIN = "\u024f"
@@ -60,23 +61,31 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return _id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.pieces.clear()
+
+    def _learn_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of many pre-tokens from few encodings: joined by blanks, each ends at an id of a word's end."""
+        fresh: dict[str, bytes] = {}
         for i in range(0, len(pieces), 2048):
             part = pieces[i : i + 2048]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part):
                 raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
-                self.pieces.update((p, raw[at[k] : at[k + 1]]) for k, p in enumerate(part))
+                fresh.update((p, raw[at[k] : at[k + 1]]) for k, p in enumerate(part))
             else:
-                self.pieces.update((p, self.whole(p)) for p in part)
+                fresh.update((p, self.whole(p)) for p in part)
+        return fresh
 
-    def learn(self, chunks: list[str]) -> None:
-        """Make the ids of chunks without white space known."""
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks without white space; those of short ones are kept."""
+        if len(self.chunks) > KEPT_CHUNKS:
+            self.chunks.clear()
         if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
-        have, known = self.pieces, self.chunks
+        have, known = self.pieces, {}
         pending: list[tuple[str, str]] = []
         for chunk in chunks:
             if self.special.search(chunk):
@@ -94,15 +103,16 @@ class WordEncoder:
             else:
                 pending.append((chunk, low))
         split = [[low] if low.isalpha() and low.isascii() else _PIECE.findall(low) for _, low in pending]
-        self._learn_pieces(list({p for pieces in split for p in pieces if p not in have}))
+        fresh = self._learn_pieces(list({p for pieces in split for p in pieces if p not in have}))
         for (chunk, _), pieces in zip(pending, split, strict=True):
-            known[chunk] = have[pieces[0]] if len(pieces) == 1 else b"".join([have[p] for p in pieces])
+            known[chunk] = b"".join([fresh[p] if p in fresh else have[p] for p in pieces])
+        have.update((p, ids) for p, ids in fresh.items() if len(p) <= KEPT_CHARS)
+        self.chunks.update((c, ids) for c, ids in known.items() if len(c) <= KEPT_CHARS)
+        return known
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's token ids as little-endian 32-bit words."""
-        known = self.chunks
-        if len(known) > KEPT_CHUNKS:
-            known.clear()
+        kept = self.chunks
         coded: list[bytes | list[bytes]] = []
         gaps: list[tuple[list, int, str]] = []
         for text in texts:
@@ -110,13 +120,13 @@ class WordEncoder:
                 coded.append(self.whole(text))
                 continue
             chunks = (text or "").split()
-            parts = list(map(known.get, chunks))
+            parts = list(map(kept.get, chunks))
             at = -1
             for _ in range(parts.count(None)):
                 at = parts.index(None, at + 1)
                 gaps.append((parts, at, chunks[at]))
             coded.append(parts)
-        self.learn(list({chunk for *_, chunk in gaps}))
+        known = self.learn(list({chunk for *_, chunk in gaps}))
         for parts, at, chunk in gaps:
             parts[at] = known[chunk]
         return [c if isinstance(c, bytes) else b"".join(c) for c in coded]
@@ -135,26 +145,29 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, encoder = TaskContext.get().partitionId() << 36, word_encoder(tokenizer_path)
-        for batch in batches(source):
-            texts = batch.column(1).to_pylist()
-            rows, out = [], []
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size < slice_chars):
-                    size += len(texts[j] or "")
-                    j += 1
-                for k, ids in enumerate(encoder.encode(texts[i:j]), i):
-                    ids += mark
-                    step = 4 * capacity
-                    for p, at in enumerate(range(0, len(ids), step)):
-                        part = ids[at : at + step]
-                        rows.append(k)
-                        out.append((number, p, at // 4, len(part) // 4, zlib.crc32(part)))
-                        number += 1
-                i = j
-            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([columns[0], batch.column(0).take(pa.array(rows)), *columns[1:]], names=["piece_key", "doc_id", "piece", "start", "length", "ids_crc32"])
+        try:
+            for batch in batches(source):
+                texts = batch.column(1).to_pylist()
+                rows, out = [], []
+                i = 0
+                while i < len(texts):
+                    j, size = i, 0
+                    while j < len(texts) and (j == i or size < slice_chars):
+                        size += len(texts[j] or "")
+                        j += 1
+                    for k, ids in enumerate(encoder.encode(texts[i:j]), i):
+                        ids += mark
+                        step = 4 * capacity
+                        for p, at in enumerate(range(0, len(ids), step)):
+                            part = ids[at : at + step]
+                            rows.append(k)
+                            out.append((number, p, at // 4, len(part) // 4, zlib.crc32(part)))
+                            number += 1
+                    i = j
+                columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([columns[0], batch.column(0).take(pa.array(rows)), *columns[1:]], names=["piece_key", "doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            encoder.forget()  # the worker goes on to other operators' tasks
 
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(cut, f"piece_key long, doc_id {kind}, piece long, start long, length long, ids_crc32 long")
 
@@ -220,10 +233,22 @@ def fillings(stock: _Stock, room: int, width: int, depth: int) -> list[tuple[int
     """
     found: dict[tuple[int, ...], int] = {}
 
+    def greedy(room: int, chosen: tuple[int, ...], at: int) -> None:
+        rest, had = list(chosen), {size: chosen.count(size) for size in set(chosen)}
+        while at >= 0:  # a run of equal pieces is taken at once
+            size = stock.sizes[at]
+            n = min(stock.count[size] - had.get(size, 0), room // size)
+            rest += [size] * n
+            room -= n * size
+            at = min(at, bisect_right(stock.sizes, room)) - 1
+        found[tuple(rest)] = room
+
     def extend(room: int, chosen: tuple[int, ...], most: int, depth: int) -> None:
         at = bisect_right(stock.sizes, min(room, most)) - 1
+        if depth <= 0:
+            return greedy(room, chosen, at)
         taken = 0
-        while at >= 0 and taken < (width if depth > 0 else 1):
+        while at >= 0 and taken < width:
             size = stock.sizes[at]
             if stock.count[size] > chosen.count(size):
                 extend(room - size, (*chosen, size), size, depth - 1)
