@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tomewright.llm import language_id
@@ -44,3 +46,16 @@ def test_filter_holds_all_languages_of_an_ngram(spark):
     model = language_id.train(docs)
     rates = language_id.hit_rates(model, *__import__("tomewright.llm.workspace", fromlist=["x"]).text_buffers(__import__("pyarrow").array(["shared"])))[0]
     assert rates[0].min() > 0.9
+
+
+def test_long_rows_come_in_pieces_with_the_same_trigrams(monkeypatch):
+    texts = ["Ab  cd-é 12中文字 x " * 40, "abcdefg" * 60, "   ", " a", "", "é" * 301 + " " * 90 + "z"]
+    raw, offsets = language_id.text_buffers(pa.array(texts))
+    keys, row, letters = language_id._trigrams(raw, offsets)
+    for size in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(language_id, "CHUNK", size)
+        for i in range(len(texts)):
+            pieces = list(language_id._long_trigrams(raw[offsets[i] : offsets[i + 1]]))
+            got = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in pieces)])
+            assert sorted(got.tolist()) == sorted(keys[row == i].tolist())
+            assert sum(n for _, n in pieces) == letters[i]

@@ -8,8 +8,9 @@ AND of a trigram's slots gives every language that may contain it. A text's popc
 filter's fill lets through by chance, decides.
 
 Cases: a null or letterless text is ``und`` with score 0; ties go to the language first in sort order; rows with a null
-language or text teach nothing; with no labelled text at all everything is ``und``; repeated rows and extra columns
-pass through untouched.
+language or text teach nothing; with no labelled text at all everything is ``und``; a text whose letters make no
+trigram (single letters) gets the first language at score 0; repeated rows and extra columns pass through untouched. A
+text longer than ``CHUNK`` bytes is read piece by piece, so memory is bounded whatever its length.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .workspace import batches, collected, row_slices, text_buffers
 from .words import mix
 
 _U = np.uint64
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 UNDETERMINED = "und"
 
 
@@ -58,12 +59,20 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
+def _codes(raw: np.ndarray) -> np.ndarray:
+    return np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+
+
+def _keys(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (a.astype(_U) << _U(42)) | (b.astype(_U) << _U(21)) | c.astype(_U)
+
+
 def _trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the letter trigrams of each row, their row, and each row's number of letters.
 
     A run of other characters counts as one blank; a trigram has at least two letters.
     """
-    codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+    codes = _codes(raw)
     starts = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
     rows = len(offsets) - 1
     letter = _letters()[codes]
@@ -72,7 +81,7 @@ def _trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     blank = letter == 0
     keep = ~blank
     keep[1:] |= ~blank[:-1]  # the first blank of a run stays
-    letter, row = letter[keep].astype(_U), row[keep]
+    letter, row = letter[keep], row[keep]
     # a blank before and after each row
     at = np.searchsorted(row, np.arange(rows + 1))
     letter = np.insert(letter, at, 0)
@@ -81,8 +90,38 @@ def _trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, _U), np.zeros(0, np.int64), n_letters
     a, b, c = letter[:-2], letter[1:-1], letter[2:]
     ok = (b > 0) & ((a > 0) | (c > 0)) & ((row[:-2] == row[2:]) | (c == 0))
-    keys = (a[ok] << _U(42)) | (b[ok] << _U(21)) | c[ok]
-    return keys, row[1:-1][ok], n_letters
+    return _keys(a[ok], b[ok], c[ok]), row[1:-1][ok], n_letters
+
+
+def _long_trigrams(raw: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Trigram keys and number of letters of one row, piece by piece: together what :func:`_trigrams` gives."""
+    last = np.zeros(1, np.uint32)  # the blank before the row, then the last two symbols of the piece before
+    at = 0
+    while at < len(raw):
+        end = min(at + CHUNK, len(raw))
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end += 1
+        letter = _letters()[_codes(raw[at:end])]
+        symbols = np.concatenate([last, letter, np.zeros(int(end == len(raw)), np.uint32)])
+        keep = symbols > 0
+        keep[1:] |= symbols[:-1] > 0
+        keep[0] = True
+        symbols = symbols[keep]
+        a, b, c = symbols[:-2], symbols[1:-1], symbols[2:]
+        ok = (b > 0) & ((a > 0) | (c > 0))
+        yield _keys(a[ok], b[ok], c[ok]), int(np.count_nonzero(letter))
+        last, at = symbols[-2:], end
+
+
+def _stretches(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, keys, row of each, letters) of bounded stretches; a long row comes in several."""
+    for i, j in row_slices(offsets, CHUNK):
+        part = raw[offsets[i] : offsets[j]]
+        if len(part) > CHUNK:  # one row
+            for keys, letters in _long_trigrams(part):
+                yield i, j, keys, np.zeros(len(keys), np.int64), np.array([letters])
+        else:
+            yield i, j, *_trigrams(part, offsets[i : j + 1] - offsets[i])
 
 
 def trigram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -93,8 +132,7 @@ def trigram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
             raw, offsets = text_buffers(batch.column(1))
             codes, names = pd.factorize(batch.column(0).to_pandas(), sort=True)
             keys, langs, counts = [], [], []
-            for i, j in row_slices(offsets, CHUNK):
-                key, row, _ = _trigrams(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for i, j, key, row, _ in _stretches(raw, offsets):
                 which = codes[i:j][row]
                 for k in np.unique(which):
                     u, n = np.unique(key[which == k], return_counts=True)
@@ -143,21 +181,29 @@ def hit_rates(model: LanguageModel, raw: np.ndarray, offsets: np.ndarray) -> tup
     """Each row's corrected hit rate for each language, and its number of letters."""
     rows, n_langs = len(offsets) - 1, len(model.languages)
     hits, total, letters = np.zeros((rows, n_langs)), np.zeros(rows), np.zeros(rows, np.int64)
-    for i, j in row_slices(offsets, CHUNK):
-        keys, row, letters[i:j] = _trigrams(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    for i, j, keys, row, n in _stretches(raw, offsets):
+        letters[i:j] += n
         mask = None
         for at in _probes(keys, model.probes, len(model.slots)):
             mask = model.slots[at] if mask is None else mask & model.slots[at]
-        total[i:j] = np.bincount(row, minlength=j - i)
+        total[i:j] += np.bincount(row, minlength=j - i)
         for k in range(n_langs):
             bit = mask.dtype.type(1 << (k % 64))
-            hits[i:j, k] = np.bincount(row[(mask[:, k // 64] & bit) != 0], minlength=j - i)
+            hits[i:j, k] += np.bincount(row[(mask[:, k // 64] & bit) != 0], minlength=j - i)
     chance = model.fill**model.probes
     with np.errstate(invalid="ignore", divide="ignore"):
         rate = np.where(total[:, None] > 0, hits / np.maximum(total, 1)[:, None], 0)
         return np.clip((rate - chance) / np.maximum(1 - chance, 1e-9), 0, 1), letters
 
 
+def _judge(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Position of each text's language (past the last: undetermined) and its score."""
+    rates, letters = hit_rates(model, *text_buffers(column))
+    if not model.languages:
+        return np.zeros(len(column), np.int64), np.zeros(len(column))
+    return np.where(letters > 0, rates.argmax(1), len(model.languages)), np.where(letters > 0, rates.max(1), 0.0)
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_cols: list[str], text: str | Column = "text") -> DataFrame:
     """``id_cols`` with lang_pred and score (the best language's corrected share of the text's trigrams, 0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -166,15 +212,23 @@ def predict(docs: DataFrame, model: LanguageModel, id_cols: list[str], text: str
         m = shared.value
         names = np.array([*m.languages, UNDETERMINED], dtype=object)
         for batch in batches(source):
-            raw, offsets = text_buffers(batch.column(batch.num_columns - 1))
-            rates, letters = hit_rates(m, raw, offsets)
-            if m.languages:
-                best = np.where(letters > 0, rates.argmax(1), len(m.languages))
-                score = np.where(letters > 0, rates.max(1), 0.0)
-            else:
-                best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            best, score = _judge(m, batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     picked = docs.select(*id_cols, (F.col(text) if isinstance(text, str) else text).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]]
     return picked.mapInArrow(label, ", ".join([*fields, "lang_pred string", "score double"]))
+
+
+def keep_determined(docs: DataFrame, model: LanguageModel, least_score: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is determined with at least ``least_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def keep(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches(source):
+            best, score = _judge(m, batch.column(at))
+            yield batch.filter(pa.array((best < len(m.languages)) & (score >= least_score)))
+
+    return docs.mapInArrow(keep, docs.schema)
