@@ -42,3 +42,34 @@ def test_run_applies_all_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
     assert re.match(r"language_id", corpus_pipeline.STAGES[0][0])
+
+
+def _stage(spark, name, rows, tmp_path, schema="doc_id long, text string, lang string, source string, n_chars long"):
+    df = spark.createDataFrame([(*r, "aa", "s", 1) for r in rows], schema)
+    return dict(corpus_pipeline.STAGES)[name](spark, df, str(tmp_path))
+
+
+def test_near_duplicates_go_by_row(spark, tmp_path):
+    a, b, c, d = ("one two three four five six", "seven eight nine ten eleven twelve", "some other words that stand here", "and more words that nobody repeats")
+    got = lambda rows: sorted((tuple(r)[:2] for r in _stage(spark, "near_duplicates", rows, tmp_path).collect()), key=str)
+    assert got([(5, a), (None, a), (None, b), (3, c), (200, c), (200, d)]) == sorted([(5, a), (None, b), (3, c), (200, d)], key=str)
+    assert got([(None, a), (None, a), (None, None), (None, ""), (1, None), (1, None)]) == sorted([(None, a), (None, None), (None, ""), (1, None), (1, None)], key=str)
+    assert got([(1, a), (1, a), (1, b), (2, b)]) == sorted([(1, a), (1, b)], key=str)
+    assert got([]) == []
+
+
+def test_stages_pass_other_columns_and_empty_tables(spark, tmp_path):
+    _fixture(spark, tmp_path)
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, fp int, n int, score double, part string, key string"
+    words = "ka to mi ru sen " * 12
+    rows = [(1, words, "aa", "s", 1, 2, 3, 0.5, "p", "k"), (None, None, None, None, None, None, None, None, None, None)]
+    for rows_, kept in ((rows, [1]), ([], [])):
+        docs = spark.createDataFrame(rows_, kinds)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            if name == "language_id":
+                assert [r.doc_id for r in out.collect()] == kept
+            else:
+                assert out.count() == len(rows_)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows_)
