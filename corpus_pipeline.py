@@ -13,34 +13,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.llm import decontaminate, jaccard_join, language_id, packing
-from tomewright.llm.workspace import written
+from tomewright.llm.workspace import with_row_key, written
 
 #: A text whose best language explains less than this share of its trigrams is rejected.
 LEAST_LANGUAGE_SCORE = 0.3
+ROW = "__tomewright_row"
 #: None: SQL cannot express these stages; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is determined with a fair score; learns from all labelled rows."""
-    model = language_id.train(docs)
-    judged = language_id.predict(docs.withColumn("__t", F.col("text")), model, docs.columns, "__t")
-    return judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return language_id.keep_determined(docs, language_id.train(docs), LEAST_LANGUAGE_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts linked by five-word shingles at a similarity of 0.8: that of the smallest doc_id.
 
-    Rows that repeat an id and a text count as one. Rows without an id stay unless their group has a row with one.
+    Rows are told apart by their place, not their id: of rows that share the smallest id the first stays, a null id
+    comes after all others, and a text without a link stays whatever its id.
     """
-    groups = jaccard_join.near_duplicates(docs, 5, 80, slices=4)
-    gone = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
-    once = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
-    repeats = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
-    if repeats.isEmpty():
-        return once
-    several = once.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.join(repeats, "doc_id", "left_anti").unionByName(several).select(*docs.columns)
+    keyed = with_row_key(docs, ROW, "doc_id")
+    groups = jaccard_join.near_duplicates(keyed, 5, 80, doc_id=ROW)
+    gone = groups.where("doc_id <> component_id").select("doc_id.file", "doc_id.at")
+    here = (F.col(f"{ROW}.file") == gone["file"]) & (F.col(f"{ROW}.at") == gone["at"])
+    return keyed.join(gone, here, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
