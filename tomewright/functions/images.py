@@ -47,10 +47,34 @@ def _square(values) -> np.ndarray:
     return flat[: side * side].reshape(side, side)
 
 
+def by_size(column: pd.Series, function) -> list:
+    """A function of stacks of equal-sized square images over a column of pixel arrays; None for null."""
+    out = [None] * len(column)
+    groups: dict[int, list[int]] = {}
+    for i, values in enumerate(column):
+        if values is not None:
+            groups.setdefault(int(np.sqrt(len(values))), []).append(i)
+    for rows in groups.values():
+        for at in range(0, len(rows), 256):
+            part = rows[at : at + 256]
+            for i, value in zip(part, function(np.stack([_square(column.iloc[i]) for i in part])), strict=True):
+                out[i] = value
+    return out
+
+
+def phashes(stack: np.ndarray) -> list[int]:
+    """F-10 of a stack of images: two matrix products, then 64 bits each."""
+    m = dct_matrix(stack.shape[1])[:8]
+    low = (m @ stack @ m.T).transpose(0, 2, 1).reshape(len(stack), 64)
+    order = np.sort(low, axis=1)
+    bits = low > ((order[:, 31] + order[:, 32]) / 2)[:, None]
+    return np.packbits(bits, axis=1).view(">i8")[:, 0].tolist()
+
+
 @F.pandas_udf(T.LongType())
 def phash_udf(pixels: pd.Series) -> pd.Series:
     """F-10 over arrays of pixels of square images (8×8 and larger); null for null."""
-    return pd.Series([None if p is None else phash(_square(p)) for p in pixels], dtype="Int64")
+    return pd.Series(by_size(pixels, phashes), dtype="Int64")
 
 
 def radial_profile(pixels: np.ndarray) -> np.ndarray:
@@ -79,9 +103,26 @@ def cliff_scale(pixels: np.ndarray) -> float | None:
     return None if scale >= 0.9 else float(np.clip(scale, 0.5, 0.9))
 
 
+def cliff_scales(stack: np.ndarray) -> list[float | None]:
+    """F-15 of a stack of images: one transform and one weighted count for all."""
+    n, h, w = stack.shape
+    magnitude = np.abs(np.fft.fft2(stack)) / np.sqrt(h * w)
+    dy, dx = np.minimum(np.arange(h), h - np.arange(h)), np.minimum(np.arange(w), w - np.arange(w))
+    radius = np.round(np.hypot(dy[:, None], dx[None, :])).astype(int).ravel()
+    most, width = min(w, h) // 2, int(radius.max()) + 1
+    total = np.bincount((np.arange(n)[:, None] * width + radius).ravel(), magnitude.reshape(n, -1).ravel(), minlength=n * width).reshape(n, width)[:, : most + 1]
+    count = np.bincount(radius, minlength=width)[: most + 1]
+    profile = total / np.maximum(count, 1)
+    profile[:, 0] = 0.0
+    threshold = np.maximum(6 * profile[:, int(most * 0.9) :].mean(1), 0.01 * profile.max(1))
+    loud = profile[:, 1:] >= threshold[:, None]
+    scale = (most - loud[:, ::-1].argmax(1)) / most
+    return [float(np.clip(s, 0.5, 0.9)) if any_ and s < 0.9 else None for s, any_ in zip(scale, loud.any(1), strict=True)]
+
+
 @F.pandas_udf(T.DoubleType())
 def cliff_scale_udf(pixels: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None else cliff_scale(_square(p)) for p in pixels], dtype="float64")
+    return pd.Series(by_size(pixels, cliff_scales), dtype="float64")
 
 
 # Limits of a tile that holds content, and the blur before the Laplacian.
@@ -98,9 +139,10 @@ def content_crop(pixels: np.ndarray, tile: int) -> np.ndarray:
 
 
 def _filter3(pixels: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    p = np.pad(pixels, 1, mode="edge")
-    h, w = pixels.shape
-    return sum(kernel[i, j] * p[i : i + h, j : j + w] for i in range(3) for j in range(3))
+    """Edges repeated; over the last two axes."""
+    p = np.pad(pixels, [(0, 0)] * (pixels.ndim - 2) + [(1, 1)] * 2, mode="edge")
+    h, w = pixels.shape[-2:]
+    return sum(kernel[i, j] * p[..., i : i + h, j : j + w] for i in range(3) for j in range(3))
 
 
 def sharpness(pixels: np.ndarray, tile: int = 512) -> float:
@@ -111,6 +153,15 @@ def sharpness(pixels: np.ndarray, tile: int = 512) -> float:
     return float(abs(_filter3(blurred, np.array([[0, 1, 0], [1, -4, 1], [0, 1, 0]])).std(ddof=1)))
 
 
+def sharpnesses(stack: np.ndarray, tile: int = 512) -> list[float]:
+    """F-16 of a stack of images: images larger than a tile give way to their content tile first."""
+    crops = stack if max(stack.shape[1:]) <= tile else np.stack([content_crop(x, tile) for x in stack])
+    side = np.exp(-1 / (2 * BLUR**2))
+    line = np.array([side, 1, side]) / (1 + 2 * side)
+    sharp = _filter3(_filter3(crops, np.outer(line, line)), np.array([[0, 1, 0], [1, -4, 1], [0, 1, 0]]))
+    return np.abs(sharp.reshape(len(crops), -1).std(1, ddof=1)).tolist()
+
+
 @F.pandas_udf(T.DoubleType())
 def sharpness_udf(pixels: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None else sharpness(_square(p)) for p in pixels], dtype="float64")
+    return pd.Series(by_size(pixels, sharpnesses), dtype="float64")

@@ -24,6 +24,16 @@ def combined_scale(resize: Column, smart: Column) -> Column:
     return F.least(F.coalesce(resize, F.lit(1.0)), F.coalesce(smart, F.lit(1.0)))
 
 
+def thumbnail_ratio(width: Column, height: Column, most: int = 150) -> Column:
+    """F-17: the scale at which both sides fit; above 1 for small images."""
+    return F.least(F.lit(float(most)) / width, F.lit(float(most)) / height)
+
+
+def is_due(since: Column, minutes: Column, now: Column) -> Column:
+    """F-24: whether some minutes have passed since a time."""
+    return since + F.make_dt_interval(mins=minutes) < now
+
+
 def timeout_seconds(base_seconds: Column, pixels: Column) -> Column:
     """F-18: a base time for each megapixel, once at least."""
     return base_seconds * F.greatest(F.lit(1.0), pixels / 1_000_000)

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,14 +20,17 @@ KEYWORDS = (
 )
 NUMBER = r"\s*(\d+)(?:[.-](\d+))?"
 CHAPTER_NUMBER = rf"(?iu)(?:{KEYWORDS}){NUMBER}|(?:第|제){NUMBER}\s*(?:話|章|话|화|장)?|(?:บทที่|အခန်း){NUMBER}"
+# A plain number, the number in a title, and the folder of upscaled files.
 SIMPLE_NUMBER = r"(\d+(?:\.\d+)?)"
 TITLE_NUMBER = r"(?:Chapter\s*(\d+\.?\d*)|第(\d+\.?\d*)(?:話|章)(?:(?:-|ー|－)(\d*))?|Kapitel\s*(\d+\.?\d*))"
 UPSCALED_SEGMENT = r"(?:^|[\\/])_upscaled(?=[\\/])"
+# MIME types by extension.
 IMAGE_MIME = {
     ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".webp": "image/webp",
     ".bmp": "image/bmp", ".tiff": "image/tiff", ".tif": "image/tiff", ".avif": "image/avif",
 }
 INVALID_FILE_CHARS = ["\0", "/"]
+# The tokens of both natural orders.
 NATURAL_MIXED = r"(\d+?\.?\d*)|(\D+?\.?\D*)"
 NATURAL_RUNS = r"\d+|\D+"
 DECIMAL = "decimal(28,10)"
@@ -66,9 +72,24 @@ def corrected_number(number: Column, title: Column) -> Column:
 
 
 def merged_name(name: Column, base: Column) -> Column:
-    """F-5: the first keyword number of a name replaced by its base number, whatever its part."""
-    number = keyword_number(name)
-    return F.when(number.isNull(), name).otherwise(F.replace(name, number, base))
+    """F-5: every keyword number of a name replaced by the base number; a part after a dot goes with it.
+
+    A number whose part stands after a hyphen stays: the joined form ``5.2`` does not occur in ``5-2``.
+    """
+    pattern = rf"(?iu)(?<kw>(?:{KEYWORDS}|第|제|บทที่|အခန်း)\s*)\d++(?:\.\d++|(?!-\d))"
+    literal = F.replace(F.replace(base, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return F.regexp_replace(name, F.lit(pattern), F.concat(F.lit("${kw}"), literal))
+
+
+def merged_file_name(name: Column, base: Column) -> Column:
+    """F-5 for a file: the stem's numbers change, the extension stays."""
+    extension = F.regexp_extract(name, r"(\.[^./\\]*)$", 1)
+    return F.concat(merged_name(F.regexp_replace(name, r"\.[^./\\]*$", ""), base), extension)
+
+
+def merged_title(title: Column, base: Column) -> Column:
+    """F-5 for a title: none stays none."""
+    return F.when(title != "", merged_name(title, base))
 
 
 def escape_file_name(name: Column, invalid: list[str] | None = None) -> Column:
@@ -147,15 +168,40 @@ def contains_ignore_case(text: Column, needle: str) -> Column:
     return F.contains(F.lower(text), F.lit(needle.strip().lower()))
 
 
+def natural_tokens(text: Column) -> Column:
+    """S-2: a name's tokens; a decimal is taken only after a one-digit integer, which is part of the order and kept."""
+    return F.regexp_extract_all(text, F.lit(NATURAL_MIXED), F.lit(0))
+
+
 def natural_key(text: Column) -> Column:
-    """S-2: sort key of natural order: tokens as (kind, number, text); numbers compare as doubles, text ignores case.
+    """S-2: sort key of natural order for names whose tokens stand in step: (kind, number, text); text ignores case.
 
-    The token pattern takes a decimal only after a one-digit integer; that is part of the order and kept. Numbers and
-    text compare as text, so a number's text takes part where its neighbour is not a number: callers that need that
-    mixed rule sort by :func:`natural_key` within rows of one token shape. Null sorts first.
+    A number and a text in one place compare by kind here, numbers first; :func:`natural_compare` has the whole rule.
+    Null sorts first.
     """
-    tokens = F.regexp_extract_all(text, F.lit(NATURAL_MIXED), F.lit(0))
-    return F.transform(tokens, lambda t: F.struct(t.try_cast("double").isNull().alias("is_text"), F.coalesce(t.try_cast("double"), F.lit(0.0)).alias("num"), F.when(t.try_cast("double").isNull(), F.upper(t)).otherwise(F.lit("")).alias("txt")))
+    return F.transform(natural_tokens(text), lambda t: F.struct(t.try_cast("double").isNull().alias("is_text"), F.coalesce(t.try_cast("double"), F.lit(0.0)).alias("num"), F.when(t.try_cast("double").isNull(), F.upper(t)).otherwise(F.lit("")).alias("txt")))
+
+
+def natural_compare(a: Column, b: Column) -> Column:
+    """S-2: -1, 0 or 1: the first pair of tokens that differs decides, two numbers as doubles, others as text that ignores
+    case; then fewer tokens come first, and null before all."""
+
+    def of(x: Column, y: Column) -> Column:
+        m, n = x.try_cast("double"), y.try_cast("double")
+        number = F.when(m < n, -1).when(m > n, 1).otherwise(0)
+        p, q = F.upper(x), F.upper(y)
+        return F.when(m.isNotNull() & n.isNotNull(), number).otherwise(F.when(p < q, -1).when(p > q, 1).otherwise(0))
+
+    left, right = natural_tokens(a), natural_tokens(b)
+    both = F.least(F.size(left), F.size(right))
+    pairs = F.zip_with(F.slice(left, 1, both), F.slice(right, 1, both), of)
+    first = F.element_at(F.concat(F.filter(pairs, lambda c: c != 0), F.array(F.signum(F.size(left) - F.size(right)).cast("int"))), 1)
+    return F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), -1).when(b.isNull(), 1).otherwise(first)
+
+
+def natural_sorted(items: Column, name: str) -> Column:
+    """S-2: an array of structs in natural order of one field, by comparing pairs."""
+    return F.array_sort(items, lambda x, y: natural_compare(x[name], y[name]))
 
 
 def natural_key_strict(text: Column) -> Column:
@@ -170,16 +216,41 @@ def chapter_key(title: Column) -> Column:
 
 
 def valid_regex(pattern: str | None) -> bool:
-    """F-21: blank patterns are valid; tested on the driver, once per rule."""
+    """F-21: blank patterns are valid; tested on the driver, once per rule, by the engine that runs them."""
     if not pattern or not pattern.strip():
         return True
+    context = SparkContext._active_spark_context
+    if context is None:
+        raise RuntimeError("patterns are tested by a session's JVM: start one first")
     try:
-        re.compile(pattern)
-    except re.error:
+        context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
         return False
     return True
 
 
+def pattern_groups(pattern: str) -> tuple[int, set[str]]:
+    """How many groups a valid pattern has, and the names of those that have one."""
+    compiled = SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    named = set(re.findall(r"\(\?<([A-Za-z][A-Za-z0-9]*)>", pattern))
+    return compiled.matcher("").groupCount(), named
+
+
+def trimmed(text: Column) -> Column:
+    """White space of any kind off both ends, as Unicode counts it."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def encode_base64(content: Column) -> Column:
+    """F-17: one line of base64."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
+
+
+def decode_base64(text: Column) -> Column:
+    """F-17: the bytes of base64, null where it is none."""
+    return F.try_to_binary(text, F.lit("base64"))
+
+
 def sniff_format(content: Column) -> Column:
     """SRC-12: image extension by the first bytes; null if none is known."""
     head = F.hex(F.substring(content, 1, 16))

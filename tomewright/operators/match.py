@@ -124,10 +124,19 @@ def match_filters(images: DataFrame, filters: DataFrame, least_similarity: float
 
 
 def hash_bands(value: Column, distance: int) -> Column:
-    """distance + 1 disjoint bands of a 64-bit hash, each with its number: hashes within the distance share one whole."""
-    bands = min(distance + 1, 64)
+    """Join keys of a 64-bit hash: hashes within the distance share one at least.
+
+    Of distance + 1 disjoint bands they share one whole. Where these would be short (under eight bits), distance + 2
+    bands are cut instead, of which they share two, and every pair of bands is a key.
+    """
+    pairs = 8 <= distance < 62
+    bands = min(distance + (2 if pairs else 1), 64)
     edges = [64 * i // bands for i in range(bands + 1)]
-    return F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(value, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
+    cut = [F.shiftrightunsigned(value, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    if not pairs:
+        return F.array(*(F.struct(F.lit(i).alias("i"), bits.alias("bits")) for i, bits in enumerate(cut)))
+    width = max(b - a for a, b in zip(edges[:-1], edges[1:], strict=True))
+    return F.array(*(F.struct(F.lit(i * bands + j).alias("i"), F.shiftleft(cut[i], width).bitwiseOR(cut[j]).alias("bits")) for i in range(bands) for j in range(i + 1, bands)))
 
 
 def part_pages(page: Column) -> Column:
@@ -143,7 +152,7 @@ def title_clashes(rows: DataFrame, title: str, key: str) -> DataFrame:
 
 def valid_keys(requests: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
     """J-17, FLT-17: requests whose key is active and not past its expiry (none: valid for ever)."""
-    return requests.join(keys.where(F.col("active") & (F.col("expires_at").isNull() | (F.col("expires_at") >= now))), "key")
+    return requests.join(keys.where("active"), "key").where(F.col("expires_at").isNull() | (F.col("expires_at") >= now))
 
 
 def match_originals(upscaled: DataFrame, originals: DataFrame, file_name: str, escaped: str, title: str) -> DataFrame:
@@ -210,6 +219,19 @@ def alias_transfer(source_titles: DataFrame, target: DataFrame, existing: DataFr
     return wanted.join(taken, [key, title], "left_anti")
 
 
+def merge_splits(old: DataFrame, new: DataFrame, key: str, fields: list[str], splits: str, at: str) -> DataFrame:
+    """F-22, A-9: two results of one key as one: fields of the new one where it has them (neither null nor 0), splits of
+    both by place, of several at one place the first, earlier result first."""
+    names = [*fields, splits]
+    sides = [frame.select(key, *(F.col(c).alias(f"{side}_{c}") for c in names)) for frame, side in ((old, "old"), (new, "new"))]
+    both = sides[0].join(sides[1], key, "full")
+    kind = F.array().cast(old.schema[splits].dataType)
+    every = F.concat(F.coalesce(f"old_{splits}", kind), F.coalesce(f"new_{splits}", kind))
+    first = F.filter("__all", lambda s, i: F.array_position(F.transform("__all", lambda x: x[at]), s[at]) == i + 1)
+    kept = both.withColumn("__all", every).withColumn(splits, F.array_sort(first, lambda x, y: F.when(x[at] < y[at], -1).when(x[at] > y[at], 1).otherwise(0)))
+    return kept.select(key, *(F.coalesce(F.nullif(F.col(f"new_{f}"), F.lit(0)), F.col(f"old_{f}")).alias(f) for f in fields), splits)
+
+
 def group_sorted(rows: DataFrame, keys: list[str], flag: str, columns: list[str]) -> DataFrame:
     """A-2: per key the rows as an array, unflagged first, then by their columns."""
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(flag, *columns))).alias("items"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +75,11 @@ def part_additions(candidates: DataFrame, merged_parts: DataFrame, series: list[
     return consecutive_prefix(joined, [*series, "base"], number, "base").where("__new").drop("__new", "n")
 
 
+def unnumbered_additions(candidates: DataFrame, accepted: DataFrame, number: str, metadata_number: str) -> DataFrame:
+    """W-5's second way in: candidates whose metadata number equals that of an accepted one, the empty one included."""
+    return candidates.join(accepted.select(metadata_number).distinct(), metadata_number, "left_semi")
+
+
 def page_offsets(parts: DataFrame, keys: list[str], order: list[Column], pages: str) -> DataFrame:
     """W-6: first and last page index of each part when parts stand one after another."""
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -104,6 +112,33 @@ def repaired_ranges(parts: Column) -> Column:
     return F.aggregate(typed, empty, fixed)
 
 
+def repair_ranges(parts: DataFrame, key: str) -> DataFrame:
+    """W-7 over rows (key, start, end, pages): :func:`repaired_ranges` read as a stream in order of start.
+
+    Only the last end of a key is kept, so a key may have any number of rows.
+    """
+    picked = parts.select(key, *(F.col(c).cast("long").alias(c) for c in ("start", "end", "pages")))
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key = last = None
+        for batch in source:
+            starts, ends = [], []
+            for name, start, end, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != last_key:
+                    last_key, last = name, None
+                size = max(0, pages - 1)
+                if end < start:
+                    end = start + size
+                if last is not None and start <= last:
+                    start, end = last + 1, last + 1 + size
+                last = end
+                starts.append(start)
+                ends.append(end)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), batch.column(3)], names=batch.schema.names)
+
+    return picked.na.drop().repartition(key).sortWithinPartitions(key, "start", "end", "pages").mapInArrow(run, picked.schema)
+
+
 def crop_segments(cuts: DataFrame, keys: list[str], cut: str, height: str) -> DataFrame:
     """W-8: segments (top, bottom, name suffix) between cuts inside a page; cuts outside or repeated do not count."""
     inner = cuts.where((F.col(cut) > 0) & (F.col(cut) < F.col(height))).select(*keys, height, F.col(cut).cast("long").alias("bottom"))

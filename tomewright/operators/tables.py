@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ignore_case
@@ -122,6 +122,12 @@ def sort_and_page(rows: DataFrame, columns: dict[str, Column], label: str, desce
     return rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_first(), F.col(tie)).offset(page * size).limit(size)
 
 
+def page_with_total(rows: DataFrame, columns: dict[str, Column], label: str, descending: bool, page: int, size: int, tie: str) -> DataFrame:
+    """S-5: :func:`sort_and_page` with the number of all rows beside each row of the page."""
+    total = rows.agg(F.count("*").alias("total"))
+    return sort_and_page(rows, columns, label, descending, page, size, tie).join(F.broadcast(total))  # one row
+
+
 def ignore_case_order(column: str) -> list[Column]:
     """S-8: ordinal order that ignores case, exact text as the tie."""
     return [F.upper(column).asc(), F.col(column).asc()]
@@ -149,6 +155,11 @@ def front_position(queue: DataFrame, position: str) -> DataFrame:
     return queue.agg((F.coalesce(F.min(position), F.lit(0)) - 1).alias("front"))
 
 
+def last_position(queue: DataFrame, position: str) -> DataFrame:
+    """A-5: the largest position; 0 in an empty queue."""
+    return queue.agg(F.coalesce(F.max(position), F.lit(0)).alias("last"))
+
+
 def pending_first(status: Column) -> Column:
     """S-12."""
     return F.when(status == "Pending", 0).otherwise(1)
@@ -202,6 +213,22 @@ def retain_recent(logs: DataFrame, ts: str, days: int = 7) -> DataFrame:
     return logs.join(F.broadcast(newest)).where(F.col(ts) > F.col("__m") - F.make_interval(days=F.lit(days))).drop("__m")
 
 
+def since_last_limit(logs: DataFrame, ts: str, tie: str, size: str, most: int) -> DataFrame:
+    """SNK-6: the rows since the log was emptied last: whenever it has reached ``most`` bytes it starts over.
+
+    Running sizes are those of a row's hour plus all hours before, so no window runs over the whole log; the hours are
+    as many as the retention allows.
+    """
+    hour = F.date_trunc("hour", F.col(ts))
+    hours = logs.groupBy(hour.alias("__hour")).agg(F.sum(size).alias("__bytes"))
+    before = F.sum("__bytes").over(Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1))
+    starts = hours.select("__hour", F.coalesce(before, F.lit(0)).alias("__start"))
+    within = F.sum(size).over(Window.partitionBy("__hour").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
+    placed = logs.withColumn("__hour", hour).join(starts, "__hour").withColumn("__epoch", F.floor((F.col("__start") + within) / most))
+    last = placed.agg(F.max("__epoch").alias("__last"))
+    return placed.join(F.broadcast(last)).where("__epoch = __last").drop("__hour", "__start", "__epoch", "__last")  # one row
+
+
 def cascade_delete(parents: DataFrame, gone: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
     """SNK-10: parents and every child table without the rows of ``gone``."""
     out = {"": parents.join(gone.select(key), key, "left_anti")}

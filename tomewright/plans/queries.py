@@ -5,30 +5,18 @@ Every docstring names the operators it exercises. Queries read whole tables; a l
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import images, numbers, text
 from ..operators import match, rules, sequence, tables
 from ..session import table
 from ..streaming import operators as streams
+from .registry import ORACLE, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
+__all__ = ["ORACLE", "QUERIES"]
 
 @query("""
 SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) FILTER (event_type = 'error') AS errors
@@ -36,8 +24,10 @@ FROM events GROUP BY user_id
 """)
 def latest_state_per_key(spark, sf):
     """W-10, ST-10: each user's last event and number of errors."""
-    ev = table(spark, sf, "events")
-    return ev.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    ev = table(spark, sf, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("status"))
+    last = sequence.latest_per_key(ev, ["user_id"], ["ts", "event_id"], ["status"])
+    failures = ev.select("user_id", "ts", "event_id", F.when(F.col("status") == "error", "Failed").otherwise(F.col("status")).alias("status"))
+    return last.join(streams.lifecycle(failures, "user_id", ["ts", "event_id"]).select("user_id", F.col("retries").alias("errors")), "user_id")
 
 
 @query("""
@@ -56,7 +46,7 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS
 SELECT user_id, arg_max(event_type, (ts, event_type)) AS event_type, max(ts) AS last_ts, count(*) AS n FROM s GROUP BY user_id, k
 """)
 def debounce_sessions(spark, sf):
-    """ST-1, ST-2: the last event of each burst with an hour of silence after it."""
+    """ST-1: the last event of each burst with an hour of silence after it."""
     return streams.debounce(table(spark, sf, "events"), ["user_id"], "ts", "event_type", "1 hour")
 
 
@@ -78,7 +68,7 @@ SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIG
 FROM events WHERE CAST(props->>'$.k' AS BIGINT) % 3 = 0 GROUP BY event_type
 """)
 def json_type_lookup(spark, sf):
-    """J-5, F-23, PRJ-6: rows by a JSON field."""
+    """J-5: rows by a JSON field."""
     found = match.json_lookup(table(spark, sf, "events").select("event_type", "props"), "props", field="k").where("json_id % 3 = 0")
     return found.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("json_id").alias("total"))
 
@@ -151,7 +141,7 @@ SELECT o_orderstatus AS status, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN
        count(*) FILTER (o_orderpriority = '1-URGENT') AS n_urgent FROM orders GROUP BY o_orderstatus
 """)
 def status_buckets(spark, sf):
-    """A-21, PRJ-3, S-1: orders by status with the status' rank."""
+    """PRJ-3: orders by status with the status' rank."""
     named = F.create_map(F.lit("F"), F.lit("Completed"), F.lit("O"), F.lit("Processing"), F.lit("P"), F.lit("Pending"))
     rows = table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_urgent"))
     return rows.select(F.col("o_orderstatus").alias("status"), tables.status_rank(named[F.col("o_orderstatus")]).alias("rank"), "n", "n_urgent")
@@ -217,10 +207,9 @@ SELECT l_orderkey, CAST(max(e) AS BIGINT) AS last_page, count(*) AS n, CAST(sum(
 def range_repair(spark, sf):
     """W-7: an order's page ranges, each repaired against its repaired predecessor."""
     q, k = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long") * 7
-    ranges = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(k.alias("start"), (k + q - 10).alias("end"), q.alias("pages"))).alias("parts"))
-    fixed = ranges.select("l_orderkey", sequence.repaired_ranges(F.col("parts")).alias("f"))
-    total = F.aggregate("f", F.lit(0).cast("long"), lambda a, x: a + x["start"])
-    return fixed.select("l_orderkey", F.array_max(F.transform("f", lambda x: x["end"])).alias("last_page"), F.size("f").cast("long").alias("n"), total.alias("starts"))
+    ranges = table(spark, sf, "lineitem").select("l_orderkey", k.alias("start"), (k + q - 10).alias("end"), q.alias("pages"))
+    fixed = sequence.repair_ranges(ranges, "l_orderkey")
+    return fixed.groupBy("l_orderkey").agg(F.max("end").alias("last_page"), F.count("*").alias("n"), F.sum("start").alias("starts"))
 
 
 @query("""
@@ -285,7 +274,7 @@ SELECT c_custkey, n AS number, split_part(n, '.', 1)::DECIMAL(28,0)::VARCHAR AS
          regexp_extract('Chapter ' || c_custkey || '.' || c_nationkey, '(?i)ch(?:apter)?\\.?\\s*(\\d+)(?:[.-](\\d+))?', 2) AS n FROM customer)
 """.replace("\\\\", "\\"))
 def number_extract(spark, sf):
-    """F-1, F-2, F-3: numbers and base numbers of chapter titles."""
+    """F-1, F-3: numbers and base numbers of chapter titles."""
     title = F.concat(F.lit("Chapter "), F.col("c_custkey"), F.lit("."), F.col("c_nationkey"))
     n = text.extract_number(title)
     return table(spark, sf, "customer").select("c_custkey", n.alias("number"), text.base_number(n).alias("base"))
@@ -296,7 +285,7 @@ SELECT p_brand, row_number() OVER (ORDER BY regexp_extract(p_brand, '^(\\D+)', 1
 FROM (SELECT DISTINCT p_brand FROM part)
 """.replace("\\\\", "\\"))
 def natural_sort_rank(spark, sf):
-    """S-2, S-3: brands in natural order (the number compares as a number)."""
+    """S-3: brands in natural order (the number compares as a number)."""
     brands = table(spark, sf, "part").select("p_brand").distinct()
     order = Window.orderBy(text.natural_key_strict(F.col("p_brand")))  # one partition: a rank over few distinct names
     return brands.select("p_brand", F.row_number().over(order).cast("long").alias("rank"))
@@ -331,7 +320,7 @@ WITH x AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
 SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM x) THEN 'conflict' ELSE 'valid' END AS kind FROM orders
 """)
 def semi_anti_conflicts(spark, sf):
-    """J-4, J-7: orders with and without returned lines."""
+    """J-7: orders with and without returned lines."""
     orders = table(spark, sf, "orders").select("o_orderkey")
     seen = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     valid, conflict = match.split_conflicts(orders, seen, ["o_orderkey"])
@@ -371,7 +360,7 @@ WITH a AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS v FROM lineitem WHERE l_
 SELECT k, v, 'missing' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT k, v, 'extra' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
 """)
 def set_diff_both_ways(spark, sf):
-    """X-2, X-4: parts a supplier has on one side only."""
+    """X-2: parts a supplier has on one side only."""
     lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("v"), "l_returnflag")
     return match.set_difference(lines.where("l_returnflag = 'A'"), lines.where("l_returnflag = 'R'"), ["k"], "v")
 
@@ -393,16 +382,14 @@ def content_hash_dupes(spark, sf):
     return docs.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
-def _sign_hash() -> F.Column:
-    bits = [F.when(F.col("embedding")[i] > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(62)]
-    out = bits[0].cast("long")
-    for b in bits[1:]:
-        out = out + b
-    return out
+def _sign_hash() -> Column:
+    """64 bits, the signs of 64 components; the last one is the sign of the number."""
+    bits = [F.when(F.col("embedding")[i] > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
 @query("""
-WITH h AS (SELECT vec_id, CAST(list_sum([CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i ELSE 0 END FOR i IN range(62)]) AS BIGINT) AS p FROM embeddings),
+WITH h AS (SELECT vec_id, CAST(list_sum([CASE WHEN embedding[i + 1] > 0 THEN 1::UBIGINT << i::UBIGINT ELSE 0 END FOR i IN range(64)]) AS UBIGINT) AS p FROM embeddings),
 f AS (SELECT vec_id AS filter_id, p AS q FROM h WHERE vec_id % 10 = 0)
 SELECT h.vec_id AS image_id, arg_min(f.filter_id, f.filter_id) AS filter_id FROM h JOIN f ON bit_count(xor(h.p, f.q)) <= 9 GROUP BY 1
 """)
@@ -440,7 +427,7 @@ SELECT d.doc_id, coalesce(d.lang = 'en', false) AND (l.toxic IS NULL OR l.toxic
 FROM documents d LEFT JOIN (SELECT doc_id, min(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id)
 """)
 def gates(spark, sf):
-    """FLT-7, FLT-8, FLT-9: both upscale gates on tri-state flags."""
+    """FLT-7, FLT-8: both upscale gates on tri-state flags."""
     labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("quality").alias("quality"))
     rows = table(spark, sf, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
     lib, series, profile = F.col("lang") == "en", F.col("toxic") == 1, F.col("quality")
@@ -532,7 +519,7 @@ def part_coverage(spark, sf):
 SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer
 """)
 def child_counts(spark, sf):
-    """A-1, J-12, S-7: customers with their number of orders, 0 for none."""
+    """A-1, J-12: customers with their number of orders, 0 for none."""
     return match.with_counts(table(spark, sf, "customer").select("c_custkey", "c_name"), table(spark, sf, "orders").select("o_custkey"), "c_custkey", "o_custkey")
 
 
@@ -540,7 +527,7 @@ def child_counts(spark, sf):
 SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1
 """)
 def dedupe_first(spark, sf):
-    """A-9, J-11: each customer's first order by an explicit rank."""
+    """A-9: each customer's first order by an explicit rank."""
     return match.dedupe_first(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")])
 
 
@@ -549,7 +536,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'requeued' ELSE o_orderprio
 UNION ALL SELECT o_orderkey + 100000000, 'new' FROM orders WHERE o_orderkey % 10 = 0
 """)
 def snapshot_upsert(spark, sf):
-    """SNK-2, SNK-3, SNK-4, X-3: a snapshot updated, rows deleted, new ones added."""
+    """SNK-2, SNK-3, X-3: a snapshot updated, rows deleted, new ones added."""
     rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     kept = tables.delete_ids(tables.update_where(rows, F.col("o_orderkey") % 2 == 0, o_orderpriority=F.lit("requeued")), rows.where("o_orderkey % 10 = 0"), "o_orderkey")
     return match.union_all(kept, rows.where("o_orderkey % 10 = 0").select((F.col("o_orderkey") + 100000000).alias("o_orderkey"), F.lit("new").alias("o_orderpriority")))
@@ -592,3 +579,6 @@ def fft_cliff(spark, sf):
 def laplacian_sharpness(spark, sf):
     """F-16: sharpness of vectors read as 8×8 images; no SQL form, tested against brute force."""
     return table(spark, sf, "embeddings").select("vec_id", images.sharpness_udf("embedding").alias("sharpness"))
+
+
+from . import queries_flow, queries_match, queries_rows  # noqa: E402, F401  they register their queries

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -29,21 +31,37 @@ def changed_only(rows: DataFrame, keys: list[str], order: list[str], value: str)
 def throttle(rows: DataFrame, key: str, ts: str, gap_seconds: float = 0.25, tie: str | None = None) -> DataFrame:
     """ST-3, batch twin: the rows a throttle emits: each at least the gap after the last one emitted.
 
-    What is emitted depends on what was, so a key's times are folded in order inside the JVM; a key's times are one
-    array, as one stream's progress rows are few.
+    What is emitted depends on what was, so a key's rows are read in order as a stream; the last emitted time is all that
+    is kept, whatever a key's number of rows.
     """
     gap = int(gap_seconds * 1_000_000)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    item = F.struct(micros.alias("us"), F.col(tie or ts).alias("tie"))
-    ordered = rows.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    kind = ordered.schema["items"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(kind).alias("kept"))
-
-    def step(state: Column, x: Column) -> Column:
-        emit = state["last"].isNull() | (x["us"] - state["last"] >= gap)
-        return F.struct(F.when(emit, x["us"]).otherwise(state["last"]).alias("last"), F.when(emit, F.concat(state["kept"], F.array(x))).otherwise(state["kept"]).alias("kept"))
-
-    return ordered.select(key, F.explode(F.aggregate("items", start, step)["kept"]).alias("x")).select(key, F.timestamp_micros("x.us").alias("emitted_at"), *([F.col("x.tie").alias(tie)] if tie else []))
+    names = [key, "emitted_at", *([tie] if tie else [])]
+    picked = rows.select(F.col(key), F.col(ts).cast("timestamp").alias("emitted_at"), *([F.col(tie)] if tie else []))
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, None
+        for batch in source:
+            keys = batch.column(0).to_pylist()
+            us = batch.column(1).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            keep, i = [], 0
+            while i < len(keys):
+                j = i + 1
+                while j < len(keys) and keys[j] == keys[i]:
+                    j += 1
+                if keys[i] != last_key:
+                    last_key, last = keys[i], None
+                at = i
+                while at < j:  # from one emitted row to the next, by binary search
+                    at = at if last is None else i + int(np.searchsorted(us[i:j], last + gap))
+                    if at < j:
+                        keep.append(at)
+                        last = int(us[at])
+                i = j
+            if keep:
+                yield batch.take(pa.array(keep))
+
+    ordered = picked.where(F.col(key).isNotNull() & F.col("emitted_at").isNotNull()).repartition(key).sortWithinPartitions(*names)
+    return ordered.mapInArrow(run, picked.schema)
 
 
 def throttle_stream(events: DataFrame, key: str, ts: str, gap_seconds: float = 0.25) -> DataFrame:
@@ -74,6 +92,18 @@ def heartbeat_timeouts(beats: DataFrame, key: str, ts: str, limit: str = "1 minu
     return last.where(F.col("last_ts") + F.expr(f"interval {limit}") < now).select(key, "last_ts")
 
 
+def requeued(tasks: DataFrame, beats: DataFrame, key: str, ts: str, limit: str = "1 minute", now: Column | None = None, grace: str = "5 seconds") -> DataFrame:
+    """ST-6: tasks after a sweep: processing ones that went silent are pending again.
+
+    Completed and canceled tasks stay as they are, whatever their beats. A claim (``claimed_at``) counts as a beat that
+    lasts ``grace`` longer.
+    """
+    seen = beats.select(key, F.col(ts).alias("__ts")).unionByName(tasks.where("claimed_at is not null").select(key, (F.col("claimed_at") + F.expr(f"interval {grace}")).alias("__ts")))
+    silent = heartbeat_timeouts(seen, key, "__ts", limit, now).select(key, F.lit(True).alias("__silent"))
+    gone = F.coalesce("__silent", F.lit(False)) & (F.col("status") == "Processing")
+    return tasks.join(silent, key, "left").withColumns({"status": F.when(gone, "Pending").otherwise(F.col("status")), "requeued": gone}).drop("__silent")
+
+
 def heartbeat_stream(beats: DataFrame, key: str, ts: str, limit_ms: int = 60_000) -> DataFrame:
     """ST-6 on a stream with a watermark: a key is reported when the watermark passes its last beat by the limit."""
     kind = beats.schema[key].dataType.simpleString()
@@ -107,6 +137,18 @@ def first_claims(claims: DataFrame, key: str, order: list[str]) -> DataFrame:
     return claims.groupBy(key).agg(F.min_by(F.struct(*[c for c in claims.columns if c != key]), F.struct(*order)).alias("c")).select(key, "c.*")
 
 
+def split_states(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """ST-14: a split state after all its setters, in order: the last status, and the last version of each kind that was given."""
+    last = merged_progress(events, [key], order, ["status", "processed_version", "applied_version"])
+    reset = F.col("status").isin("Pending", "Processing")
+    return last.withColumn("applied_version", F.when(reset | F.col("applied_version").isNull(), 0).otherwise(F.col("applied_version")))
+
+
+def scheduled_runs(spans: DataFrame, key: str, start: str, end: str, every: str) -> DataFrame:
+    """ST-13: the times at which a periodic job runs within each span: at its start, then after every period."""
+    return spans.select(key, F.explode(F.sequence(F.col(start), F.col(end), F.expr(f"interval {every}"))).alias("run_at"))
+
+
 def lifecycle(events: DataFrame, key: str, order: list[str], status: str = "status") -> DataFrame:
     """ST-10, ST-14: a task's state, its retries (failures) and whether it ended."""
     out = events.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias("status"), F.count_if(F.col(status) == "Failed").alias("retries"))
@@ -135,15 +177,35 @@ def first_trigger(rows: DataFrame, key: str, order: list[str], condition: Column
     return rows.where(condition).withColumn("__r", F.row_number().over(order_by)).where("__r = 1").drop("__r")
 
 
-def upsert_batches(changes: DataFrame, keys: list[str], sequence: str, merge: Callable[[DataFrame, int], None], interval: str = "100 milliseconds"):
-    """ST-4, ST-5: a stream writer that hands each micro-batch, last change per key, to ``merge``; start it to run."""
+def last_changes(changes: DataFrame, keys: list[str], sequence: str, removed: str | None = None) -> DataFrame:
+    """ST-4: the last change of each key; where ``removed`` marks it as a removal, what was pending for the key is gone too."""
+    others = [c for c in changes.columns if c not in keys]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(sequence)).alias("v")).select(*keys, "v.*")
+    return last if removed is None else last.withColumn(removed, F.coalesce(removed, F.lit(False)))
+
+
+def applied_changes(current: DataFrame, last: DataFrame, keys: list[str], removed: str) -> DataFrame:
+    """ST-4: a table after the last changes: removed keys are gone, others have their new values."""
+    kept = current.join(last.select(*keys), keys, "left_anti")
+    return kept.unionByName(last.where(~F.col(removed)).select(*current.columns))
+
+
+def upsert_batches(changes: DataFrame, keys: list[str], sequence: str, merge: Callable[[DataFrame, int], None], interval: str | None = "100 milliseconds", removed: str | None = None):
+    """ST-4, ST-5: a stream writer that hands each micro-batch, last change per key, to ``merge``; start it to run.
+
+    Without an interval it takes what there is and ends (ST-12's schedule).
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        others = [c for c in batch.columns if c not in keys]
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(sequence)).alias("v")).select(*keys, "v.*")
-        merge(last, batch_id)
+        merge(last_changes(batch, keys, sequence, removed), batch_id)
+
+    writer = changes.writeStream.foreachBatch(apply)
+    return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
+
 
-    return changes.writeStream.foreachBatch(apply).trigger(processingTime=interval)
+def live_view(rows: DataFrame, condition: Column, order: list[Column]) -> DataFrame:
+    """ST-5: a filtered and sorted view of the table that the stream keeps."""
+    return rows.where(condition).orderBy(*order)
 
 
 def file_events(spark, folder: str, pattern: str = "*.cbz", most: int = 100) -> DataFrame:
