@@ -47,6 +47,16 @@ def test_blocks_of_items_give_the_same(spark):
     assert len(got & leaks) >= 0.9 * len(leaks) and got <= leaks
 
 
+def test_scans_of_several_blocks_give_the_same(spark):
+    docs, items, leaks = _world(4)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(map(tuple, dc.find_leaks(df, bench, dc.Settings(block_items=7, scan_blocks=n)).collect())) for n in (1, 2, 9)]
+    assert got[0] == got[1] == got[2] and len({(d, i) for d, i, *_ in got[0]} & leaks) >= 0.9 * len(leaks)
+    long = spark.createDataFrame([(1, " ".join(t for _, t in items))], "item_id long, text string")  # one item in several blocks
+    whole = spark.createDataFrame([(1, " ".join(t for _, t in items)), (2, docs[1][1])], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in dc.find_leaks(whole, long, dc.Settings(rank=8, scan_blocks=8)).collect()] == [(1, 1)]
+
+
 def test_recall_of_the_candidate_search(spark):
     """Against a subsequence check of every item with every document."""
     docs, items, _ = _world(6)
@@ -84,8 +94,9 @@ def test_blocks_are_filled_by_passages(spark):
     bench = spark.createDataFrame([(i, "a b c " * n) for i, n in enumerate([100, 100, 1, 1, 1, 400, 1])], "item_id long, text string")
     settings = dc.Settings(rank=16, block_items=3)
     blocks = list(dc._blocks(bench, "item_id", "text", settings))
-    assert [[i for i, _ in b] for b in blocks] == [[0], [1, 2, 3], [4], [5], [6]]
-    assert all(len(b) == 1 or sum(len(dc.item_passages(w, settings)) for _, w in b) <= 16 for b in blocks)
+    assert [list(dict.fromkeys(i for i, _ in b)) for b in blocks] == [[0], [1, 2, 3], [4], [5], [5], [5, 6]]
+    assert all(len(b) <= 16 for b in blocks)
+    assert [sum(i == 5 for i, _ in b) for b in blocks[3:]] == [16, 16, 5]
 
 
 def test_every_passage_keeps_its_energy():
@@ -104,8 +115,9 @@ def test_the_space_is_fitted_on_all_documents(spark, monkeypatch):
     texts = ["a b b c", "c d e f", "a f g", "b d g g g"]
     kinds = [0 if i % 3 == 0 else 1 + i % 3 if i % 5 else 1 for i in range(60_000)]
     docs = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(kinds)], "doc_id long, text string")
-    index = dc.build_index(docs, [(1, dc.text_words(["a b c d e f g"])[0])], dc.Settings())
-    (_, vocabulary, idf, omega, *_), (got, _) = calls[0]
+    words = dc.text_words(["a b c d e f g", "g f e"])
+    index, _ = dc.build_indexes(docs, [[(1, words[0])], [(2, words[1])]], dc.Settings())
+    (_, ((vocabulary, idf, omega), _), *_), ((got, _), _) = calls[0]
     x = np.zeros((len(texts), len(vocabulary)))
     for k, w in enumerate(dc.text_words(texts)):
         np.add.at(x[k], index.terms(w), idf[index.terms(w)])

@@ -10,11 +10,14 @@ around the passage covers ``min_lcs`` of it, and, below ``sure_lcs``, if most of
 the item's words that is rarest in the corpus.
 
 The benchmark is taken in blocks, each with its own space: at most ``block_items`` items and as many passages as the space
-has ranks, so what is broadcast is bounded (an item of more passages is a block by itself). A passage of which the space
-keeps less than ``min_energy`` has its own direction added, so its copies keep their cosine whatever else is in the block.
+has ranks; an item of more passages lies in several blocks. ``scan_blocks`` blocks go through one scan of the corpus for
+document frequencies, one for the range and one for the search, so what a task holds is bounded. A passage of which the
+space keeps less than ``min_energy`` has its own direction added, so its copies keep their cosine whatever else is in the
+block.
 
 Cases: null, empty and wordless texts and items leak nothing; items longer than ``item_words`` are cut into passages
-that are checked each; repeated rows and items are reported each; an empty table on either side gives no row.
+that are checked each; repeated rows and items are reported each; an empty table on either side gives no row. An item so
+long that its blocks need several scans is reported from each scan that finds it.
 """
 
 from __future__ import annotations
@@ -46,22 +49,21 @@ class Settings:
     sure_lcs: float = 0.85
     min_answer: float = 0.5
     block_items: int = 256
+    scan_blocks: int = 4
     item_words: int = 64
     seed: int = 11
 
 
 @dataclass
 class Passage:
-    """A checked stretch of an item: its words, its bit mask by word, the words of its answer, and its own word counts.
-
-    ``local`` maps a vocabulary position to one of the item's words (the last one stands for all others).
-    """
+    """A checked stretch of an item: its words, its bit mask by word, the words of its answer, and its own words' positions
+    in the vocabulary, sorted, with their counts."""
 
     item: object
     words: np.ndarray
     masks: dict[int, int]
     answer: np.ndarray
-    local: np.ndarray
+    own: np.ndarray
     counts: np.ndarray
 
 
@@ -168,37 +170,45 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "t
     return df, int(rows.loc[~real, "df"].sum())
 
 
-def corpus_range(docs: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, omega: np.ndarray, settings: Settings, text: str = "text") -> tuple[np.ndarray, float]:
-    """XᵀXΩ over the passages of all documents, and their energy; one matrix of fixed size per task is sent."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, idf, omega))
-    width = omega.shape[1]
+def corpus_range(docs: DataFrame, spaces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], settings: Settings, text: str = "text") -> list[tuple[np.ndarray, float]]:
+    """For each space (vocabulary, idf, omega) XᵀXΩ over the passages of all documents, and their energy.
+
+    One scan for all spaces; one matrix of fixed size for each space and task is sent.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(spaces)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, weight, o = shared.value
-        weighted = (o * weight[:, None]).astype(np.float32)
-        total, energy = np.zeros((len(v), width)), 0.0
+        weighted = [(o * weight[:, None]).astype(np.float32) for _, weight, o in shared.value]
+        total, energy = [np.zeros(w.shape) for w in weighted], [0.0] * len(weighted)
         for batch in batches(source):
             for i, j, row, h in _word_runs(batch.column(0)):
                 windows = Windows(row, j - i, settings.window)
-                term = _terms(v, h)
-                ok = term >= 0
-                y = windows.sums(windows.step[ok], weighted, term[ok])
-                back = y.copy()  # a token is in its step's window and in the one before
-                back[1:][windows.joined[:-1]] += y[:-1][windows.joined[:-1]]
-                order = np.argsort(term[ok], kind="stable")
-                t, s = term[ok][order], windows.step[ok][order]
-                if len(t):
-                    begins = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                    total[t[begins]] += np.add.reduceat(back[s], begins, axis=0) * weight[t[begins], None]
-                    energy += 2 * float((weight[t] ** 2).sum())
-        at = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([np.full(width, energy), *total[at]], pa.list_(pa.float64()))], names=["t", "x"])
-
-    rows = collected(docs.select(text).mapInArrow(run, "t long, x array<double>").select("t", F.posexplode("x").alias("k", "x")).groupBy("t", "k").agg(F.sum("x").alias("x")))
-    out = np.zeros((len(vocabulary), width))
-    real = rows["t"] >= 0
-    out[rows.loc[real, "t"], rows.loc[real, "k"]] = rows.loc[real, "x"]
-    return out, float(rows.loc[~real, "x"].mean()) if (~real).any() else 0.0
+                for b, (v, weight, _) in enumerate(shared.value):
+                    term = _terms(v, h)
+                    ok = term >= 0
+                    y = windows.sums(windows.step[ok], weighted[b], term[ok])
+                    back = y.copy()  # a token is in its step's window and in the one before
+                    back[1:][windows.joined[:-1]] += y[:-1][windows.joined[:-1]]
+                    order = np.argsort(term[ok], kind="stable")
+                    t, s = term[ok][order], windows.step[ok][order]
+                    if len(t):
+                        begins = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+                        total[b][t[begins]] += np.add.reduceat(back[s], begins, axis=0) * weight[t[begins], None]
+                        energy[b] += 2 * float((weight[t] ** 2).sum())
+        for b, sums in enumerate(total):
+            at = np.flatnonzero(sums.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, b)), pa.array([-1, *at], pa.int64()), pa.array([np.full(sums.shape[1], energy[b]), *sums[at]], pa.list_(pa.float64()))], names=["b", "t", "x"])
+
+    summed = docs.select(text).mapInArrow(run, "b long, t long, x array<double>").select("b", "t", F.posexplode("x").alias("k", "x")).groupBy("b", "t", "k").agg(F.sum("x").alias("x"))
+    rows = collected(summed)
+    out = []
+    for b, (vocabulary, _, omega) in enumerate(spaces):
+        mine = rows[rows["b"] == b]
+        real = mine["t"] >= 0
+        matrix = np.zeros((len(vocabulary), omega.shape[1]))
+        matrix[mine.loc[real, "t"], mine.loc[real, "k"]] = mine.loc[real, "x"]
+        out.append((matrix, float(mine.loc[~real, "x"].mean()) if (~real).any() else 0.0))
+    return out
 
 
 def item_passages(item: np.ndarray, settings: Settings) -> list[np.ndarray]:
@@ -218,20 +228,27 @@ def with_lost_directions(basis: np.ndarray, x: np.ndarray, min_energy: float) ->
     return np.concatenate([basis, left[:, size > 1e-9]], axis=1)
 
 
-def build_index(docs: DataFrame, items: list[tuple[object, np.ndarray]], settings: Settings, text: str = "text") -> Index | None:
-    """The latent space of a block of items (id, word hashes) among all documents."""
-    cut = [(i, part) for i, w in items for part in item_passages(w, settings)]
-    if not cut:
-        return None
-    vocabulary = np.unique(np.concatenate([w for _, w in cut]))
-    df, n = document_frequencies(docs, vocabulary, text)
-    idf = np.log((n + 1) / (df + 1)) + 0.05
-    rng = np.random.default_rng(settings.seed)
-    omega = rng.normal(size=(len(vocabulary), min(settings.rank + 16, len(vocabulary))))
-    x = np.zeros((len(cut), len(vocabulary)))
-    for k, (_, w) in enumerate(cut):
-        np.add.at(x[k], _terms(vocabulary, w), idf[_terms(vocabulary, w)])
-    spread, energy = corpus_range(docs, vocabulary, idf, omega, settings, text)
+def build_indexes(docs: DataFrame, blocks: list[list[tuple[object, np.ndarray]]], settings: Settings, text: str = "text") -> list[Index]:
+    """The latent spaces of blocks of passages (item, word hashes) among all documents."""
+    if not blocks:
+        return []
+    every = np.unique(np.concatenate([w for cut in blocks for _, w in cut]))
+    held, n = document_frequencies(docs, every, text)
+    spaces, items = [], []
+    for cut in blocks:
+        vocabulary = np.unique(np.concatenate([w for _, w in cut]))
+        idf = np.log((n + 1) / (held[np.searchsorted(every, vocabulary)] + 1)) + 0.05
+        omega = np.random.default_rng(settings.seed).normal(size=(len(vocabulary), min(settings.rank + 16, len(vocabulary))))
+        x = np.zeros((len(cut), len(vocabulary)))
+        for k, (_, w) in enumerate(cut):
+            np.add.at(x[k], _terms(vocabulary, w), idf[_terms(vocabulary, w)])
+        spaces.append((vocabulary, idf, omega))
+        items.append(x)
+    return [_index(cut, space, x, spread, energy, settings) for cut, space, x, (spread, energy) in zip(blocks, spaces, items, corpus_range(docs, spaces, settings, text), strict=True)]
+
+
+def _index(cut: list[tuple[object, np.ndarray]], space: tuple, x: np.ndarray, spread: np.ndarray, energy: float, settings: Settings) -> Index:
+    vocabulary, idf, omega = space
     own = x.T @ (x @ omega)
     weight = settings.item_weight * energy / max((x**2).sum(), 1e-12) if energy else 1.0
     left, _, _ = np.linalg.svd(spread + weight * own, full_matrices=False)
@@ -244,10 +261,8 @@ def build_index(docs: DataFrame, items: list[tuple[object, np.ndarray]], setting
         for k, h in enumerate(w.tolist()):
             masks[h] = masks.get(h, 0) | 1 << k
         rare = np.argsort(-idf[_terms(vocabulary, w)], kind="stable")[: max(3, len(w) // 4)]
-        own, counts = np.unique(_terms(vocabulary, w), return_counts=True)
-        local = np.full(len(vocabulary) + 1, len(own), np.int16)  # position -1, no word of the vocabulary, is the last
-        local[own] = np.arange(len(own))
-        passages.append(Passage(i, w, masks, np.unique(w[rare]), local, np.append(counts, 0)))
+        mine, counts = np.unique(_terms(vocabulary, w), return_counts=True)
+        passages.append(Passage(i, w, masks, np.unique(w[rare]), mine, counts))
     # the product of projections is linear in the words: (x V)(V' b) = sum over words of idf * V V' b
     scores = (idf[:, None] * basis) @ latent.T
     return Index(settings, vocabulary, idf, scores.astype(np.float32), passages)
@@ -265,8 +280,23 @@ def common_subsequence(masks: dict[int, int], length: int, other: list[int]) ->
     return length - v.bit_count()
 
 
+def best_leaks(indexes: list[Index], row: np.ndarray, h: np.ndarray, rows: int) -> list[tuple]:
+    """(row, item, cosine, lcs, answer, first_word, last_word): the best place of each item in each row, over all indexes."""
+    found: dict[tuple, tuple] = {}
+    for index in indexes:
+        for r, item, *value in leaks_in(index, row, h, rows):
+            if (r, item) not in found or _better(value, found[r, item]):
+                found[r, item] = value
+    return [(*key, *value) for key, value in found.items()]
+
+
+def _better(a: tuple, b: tuple) -> bool:
+    """By subsequence, answer and place; by cosine if these are the same."""
+    return tuple(a[1:]) > tuple(b[1:]) or (tuple(a[1:]) == tuple(b[1:]) and a[0] > b[0])
+
+
 def leaks_in(index: Index, row: np.ndarray, h: np.ndarray, rows: int) -> list[tuple]:
-    """(row, item, cosine, lcs, answer, first_word, last_word): the best place of each item in each row."""
+    """:func:`best_leaks` of one index."""
     s = index.settings
     windows = Windows(row, rows, s.window)
     term = index.terms(h)
@@ -285,7 +315,9 @@ def leaks_in(index: Index, row: np.ndarray, h: np.ndarray, rows: int) -> list[tu
             lo, hi = max(0, a - m), min(int(windows.counts[r]), b + m)
             at_words = slice(windows.first_word[r] + lo, windows.first_word[r] + hi)
             # words in common, order aside, bound the subsequence from above
-            common = np.minimum(np.bincount(passage.local[term[at_words]], minlength=len(passage.counts)), passage.counts).sum()
+            here = term[at_words]
+            place = np.minimum(np.searchsorted(passage.own, here), len(passage.own) - 1)
+            common = np.minimum(np.bincount(place[passage.own[place] == here], minlength=len(passage.own)), passage.counts).sum()
             if common < s.min_lcs * m:
                 continue
             region = h[at_words]
@@ -297,30 +329,39 @@ def leaks_in(index: Index, row: np.ndarray, h: np.ndarray, rows: int) -> list[tu
                 continue
             key = (int(r), passage.item)
             value = (float(cosine[k, p]), lcs, answer, lo, hi)
-            if key not in found or value[1:] > found[key][1:] or (value[1] == found[key][1] and value[0] > found[key][0]):
+            if key not in found or _better(value, found[key]):
                 found[key] = value
     return [(*key, *value) for key, value in found.items()]
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, settings: Settings) -> Iterator[list[tuple[object, np.ndarray]]]:
-    """The benchmark's items block by block; only one block is on the driver."""
-    block, size = [], 0
+    """The benchmark's passages block by block; only one block is on the driver."""
+    block, items = [], 0
     for r in benchmark.select(item_id, text).toLocalIterator():
-        item = text_words([r[1]])[0]
-        passages = len(item_passages(item, settings))
-        if block and (len(block) == settings.block_items or size + passages > settings.rank):
+        passages = item_passages(text_words([r[1]])[0], settings)
+        if block and (items == settings.block_items or len(block) + len(passages) > settings.rank):
             yield block
-            block, size = [], 0
-        block.append((r[0], item))
-        size += passages
+            block, items = [], 0
+        items += 1
+        for part in passages:
+            if len(block) == settings.rank:
+                yield block
+                block = []
+            block.append((r[0], part))
     if block:
         yield block
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, settings: Settings, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> Iterator[Index]:
+def indexes(docs: DataFrame, benchmark: DataFrame, settings: Settings, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> Iterator[list[Index]]:
+    """The indexes of all blocks, as many at once as one scan takes."""
+    group = []
     for block in _blocks(benchmark, item_id, item_text, settings):
-        if (index := build_index(docs, block, settings, text)) is not None:
-            yield index
+        group.append(block)
+        if len(group) == settings.scan_blocks:
+            yield build_indexes(docs, group, settings, text)
+            group = []
+    if group:
+        yield build_indexes(docs, group, settings, text)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -330,12 +371,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None
     kinds = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, cosine double, lcs double, answer double, first_word long, last_word long"
     out = spark.createDataFrame([], schema)
-    for index in indexes(docs, benchmark, settings, text, item_id, item_text):
-        shared = spark.sparkContext.broadcast(index)
+    for group in indexes(docs, benchmark, settings, text, item_id, item_text):
+        shared = spark.sparkContext.broadcast(group)
 
         def run(source: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches(source):
-                found = [(i + r, *rest) for i, j, row, h in _word_runs(batch.column(1)) for r, *rest in leaks_in(shared.value, row, h, j - i)]
+                found = [(i + r, *rest) for i, j, row, h in _word_runs(batch.column(1)) for r, *rest in best_leaks(shared.value, row, h, j - i)]
                 if found:
                     row, item, *rest = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item), *(pa.array(c) for c in rest)], names=["doc_id", "item_id", "cosine", "lcs", "answer", "first_word", "last_word"])
@@ -348,14 +389,14 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | Non
     """The rows of ``docs``, all columns, that hold no benchmark item."""
     spark = docs.sparkSession
     at = docs.columns.index(text)
-    for index in indexes(docs, benchmark, settings or Settings(), text, item_id, item_text):
-        shared = spark.sparkContext.broadcast(index)
+    for group in indexes(docs, benchmark, settings or Settings(), text, item_id, item_text):
+        shared = spark.sparkContext.broadcast(group)
 
         def run(source: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches(source):
                 clean = np.ones(batch.num_rows, dtype=bool)
                 for i, j, row, h in _word_runs(batch.column(at)):
-                    clean[[i + r for r, *_ in leaks_in(shared.value, row, h, j - i)]] = False
+                    clean[[i + r for index in shared.value for r, *_ in leaks_in(index, row, h, j - i)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
