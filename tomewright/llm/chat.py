@@ -1,7 +1,7 @@
 """Chat formatting in Spark expressions: collected turn structs become one string with a loss mask, and back.
 
-A conversation's turns are sorted inside an array, adjacent turns of one role share a block, and pieces are
-concatenated. The template marks blocks with ``<|im_start|>role`` and ``<|im_end|>`` and the joints inside a merged
+A conversation's turns are sorted inside an array, adjacent turns of one role are merged into a struct of the role and the
+array of their texts, and the merged turns are concatenated. The template marks blocks with ``<|im_start|>role`` and ``<|im_end|>`` and the joints inside a merged
 block with ``<|im_sep|>``. Control strings in texts are escaped: ``<``, any number of backslashes and ``|`` take one
 backslash more, so no text holds ``<|`` and unescaping takes one away. Roles also escape line ends.
 
@@ -44,13 +44,20 @@ def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str =
     )
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
-    def piece(t: Column, i: Column) -> Column:
-        same = (i > 0) & (F.try_element_at("turns", F.when(i > 0, i).otherwise(F.lit(1)))["role"] == t["role"])
-        close = F.when(i > 0, F.lit(END + "\n")).otherwise(F.lit(""))
-        head = F.when(same, F.lit(SEP)).otherwise(F.concat(close, F.lit(START), _escape_role(t["role"]), F.lit("\n")))
-        return F.struct(head.alias("head"), escape(t["text"]).alias("body"), (t["role"] == loss_role).alias("learn"))
+    def merged(start: Column, i: Column) -> Column:
+        stop = F.coalesce(F.try_element_at("starts", i + 2), F.size("turns") + 1)
+        run = F.slice("turns", start, stop - start)
+        return F.struct(run[0]["role"].alias("role"), F.transform(run, lambda t: t["text"]).alias("texts"))
 
-    pieces = grouped.select("conv_id", F.transform("turns", piece).alias("p"))
+    places = F.sequence(F.lit(1), F.size("turns"))
+    begins = F.filter(places, lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]))
+    blocks = grouped.select("conv_id", "turns", begins.alias("starts")).select("conv_id", F.transform("starts", merged).alias("blocks"))
+
+    def pieces_of(block: Column, i: Column) -> Column:
+        head = F.concat(F.when(i > 0, F.lit(END + "\n")).otherwise(F.lit("")), F.lit(START), _escape_role(block["role"]), F.lit("\n"))
+        return F.transform(block["texts"], lambda text, k: F.struct(F.when(k > 0, F.lit(SEP)).otherwise(head).alias("head"), escape(text).alias("body"), (block["role"] == loss_role).alias("learn")))
+
+    pieces = blocks.select("conv_id", F.flatten(F.transform("blocks", pieces_of)).alias("p"))
     body = F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"])), "")
     runs = F.transform("p", lambda x: F.struct(F.when(x["learn"], F.length(x["head"])).otherwise(F.length(x["head"]) + F.length(x["body"])).alias("skip"), F.when(x["learn"], F.length(x["body"])).otherwise(0).alias("learn")))
     return pieces.select("conv_id", F.concat(body, F.lit(END + "\n")).alias("formatted"), runs.alias("loss_runs"))
