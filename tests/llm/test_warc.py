@@ -37,3 +37,14 @@ def test_every_record_becomes_a_member(tmp_path):
         with io.BytesIO(whole) as f:
             headers, record = warc.read_member(f, *index[1][1:])
         assert warc.block_of(headers, record) == b"zzzzz"
+
+
+def test_null_page_ids(spark, tmp_path):
+    big = "b" * 150
+    rows = [(None, big), (4, big), (None, "c" * 150), (None, "c" * 150), (2, "d" * 150)]
+    spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = queries.op6_warc_normalise(spark, str(tmp_path)).collect()
+    digest = {h: hashlib.sha256(h.encode()).hexdigest() for _, h in rows}
+    got = sorted((str(r.page_id), r.payload_digest, r.record_type, str(r.refers_to)) for r in out)
+    want = [("None", digest[big], "revisit", "4"), ("4", digest[big], "response", "None"), ("2", digest["d" * 150], "response", "None")]
+    assert got == sorted([*want, *[("None", digest["c" * 150], "response", "None")] * 2])

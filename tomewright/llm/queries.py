@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, jaccard_join, language_id, language_model, licenses, packing, tokens, topk, warc
-from .workspace import held_out, new_folder, remove_folder, written
+from .workspace import dropping_shuffles, held_out, new_folder, remove_folder, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,8 @@ def op6_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as whole-stream archives, normalised to a member per record, and read back by index."""
     whole, split = new_folder(spark, "warc-whole"), new_folder(spark, "warc")
     rows = warc.with_revisits(_table(spark, sf_dir, "pages"))
-    archives = [r["archive"] for r in warc.write_archives(rows, whole).collect()]  # names of files, one per task
+    with dropping_shuffles(spark):  # before the archives are written a second time
+        archives = [r["archive"] for r in warc.write_archives(rows, whole).collect()]  # names of files, one per task
     warc.normalise_archives(spark, archives, whole, split).collect()
     remove_folder(spark, whole)
     return warc.read_archives(spark, archives, split)

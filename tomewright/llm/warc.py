@@ -185,8 +185,14 @@ def normalise_archives(spark: SparkSession, archives: list[str], source: str, ta
 
 
 def _by_name(spark: SparkSession, archives: list[str]) -> DataFrame:
-    names = spark.createDataFrame([(a,) for a in archives], "archive string")
-    return names.repartition(max(1, len(archives)), "archive")
+    """A row an archive, each in a partition of its own."""
+    shared, n = spark.sparkContext.broadcast(archives), len(archives)
+
+    def name(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            yield pa.RecordBatch.from_pydict({"archive": pa.array([shared.value[i] for i in batch.column(0).to_pylist()], pa.string())})
+
+    return spark.range(0, n, 1, max(1, n)).mapInArrow(name, "archive string")
 
 
 def read_archives(spark: SparkSession, archives: list[str], folder: str) -> DataFrame:

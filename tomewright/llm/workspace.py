@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -53,15 +54,21 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _write(df: DataFrame, path: str, codec: str) -> DataFrame:
-    spark = df.sparkSession
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside drop their shuffle files when they end."""
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def _write(df: DataFrame, path: str, codec: str) -> DataFrame:
+    with dropping_shuffles(df.sparkSession):
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
