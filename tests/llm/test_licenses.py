@@ -88,3 +88,11 @@ def test_many_places_in_linear_time():
     found = licenses.scan_text(automaton, "the mit license or " * 100_000)
     assert (found["n_base"], found["first_word"], found["last_word"]) == (100_000, 1, 399_997)
     assert time.process_time() - began < 8
+
+
+def test_tags_are_read_to_the_end_of_their_line():
+    scanner = licenses.build_automaton()
+    text = "é SPDX-License-Identifier: MIT\r\nİ # spdx-LICENSE-identifier:Apache-2.0 OR\tZlib\nSPDX-License-Identifier:\nend SPDX License Identifier: ISC"
+    found = licenses.scan_text(scanner, text)
+    assert found["expressions"] == ["MIT", "Apache-2.0 OR\tZlib", ""]
+    assert found["labels"] == "apache,mit,zlib"

@@ -56,7 +56,9 @@ FAMILIES = {
 }
 _SPACE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
-_TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I | re.A)
+_TAG = "spdx-license-identifier:"
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_LINE_END = re.compile(rb"[\r\n]")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -169,17 +171,35 @@ def expression_labels(line: str) -> list[str]:
     return sorted({family(name) for name in licences_named(postfix) if name not in ("none", "noassertion") and (not prose or is_licence(name))})
 
 
-def build_automaton() -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton()
-    for phrases, kind in ((NOTICE_PHRASES, "notice"), (BASE_PHRASES, "base")):
-        for phrase, label in phrases.items():
-            automaton.add_word(f" {phrase} ", (kind, label, len(phrase) + 2))
-    automaton.add_word(f" {TAG_PHRASE} ", ("tag", "", len(TAG_PHRASE) + 2))
-    automaton.make_automaton()
-    return automaton
+class Scanner:
+    """The automaton of phrases and the tag over a text's words, and that of the tag over its bytes as they stand."""
 
+    def __init__(self, phrases: ahocorasick.Automaton, tags: ahocorasick.Automaton):
+        self.phrases, self.tags = phrases, tags
 
-def scan_text(automaton: ahocorasick.Automaton, text: str | None) -> dict:
+    def tagged_lines(self, text: str) -> list[str]:
+        """What follows each place of the tag on its line."""
+        raw = text.encode("utf-8", "replace")
+        out = []
+        for end, _ in self.tags.iter(raw.translate(_LOWER).decode("latin-1")):  # a character a byte: places are the bytes'
+            stop = _LINE_END.search(raw, end + 1)
+            out.append(raw[end + 1 : stop.start() if stop else len(raw)].decode("utf-8", "replace"))
+        return out
+
+
+def build_automaton() -> Scanner:
+    phrases, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for kind, known in (("notice", NOTICE_PHRASES), ("base", BASE_PHRASES)):
+        for phrase, label in known.items():
+            phrases.add_word(f" {phrase} ", (kind, label, len(phrase) + 2))
+    phrases.add_word(f" {TAG_PHRASE} ", ("tag", "", len(TAG_PHRASE) + 2))
+    tags.add_word(_TAG, "")
+    phrases.make_automaton()
+    tags.make_automaton()
+    return Scanner(phrases, tags)
+
+
+def scan_text(scanner: Scanner, text: str | None) -> dict:
     """Every finding in one text: number of words, base places, labels, notice spans and expressions."""
     words = (text or "").encode("utf-8", "replace").translate(_SPACE).split()
     line = b" ".join([b"", *words, b""]).decode("utf-8")
@@ -188,10 +208,11 @@ def scan_text(automaton: ahocorasick.Automaton, text: str | None) -> dict:
     tagged = False
     places: dict[int, int] = {}
     seen = place = 0
-    for start in sorted({end - length + 1 for end, (_, _, length) in automaton.iter(line)}):  # each stretch counts once
+    found = list(scanner.phrases.iter(line))
+    for start in sorted({end - length + 1 for end, (_, _, length) in found}):  # each stretch counts once
         place += line.count(" ", seen, start)
         seen, places[start] = start, place
-    for end, (kind, label, length) in automaton.iter(line):
+    for end, (kind, label, length) in found:
         place = places[end - length + 1]
         if kind == "base":
             base.append(place)
@@ -203,9 +224,9 @@ def scan_text(automaton: ahocorasick.Automaton, text: str | None) -> dict:
             spans.append((place, label))
     expressions = []
     if tagged:
-        for match in _TAG.finditer(text):
-            expressions.append(match.group(1).strip())
-            labels.update(expression_labels(match.group(1)))
+        for rest in scanner.tagged_lines(text):
+            expressions.append(rest.strip())
+            labels.update(expression_labels(rest))
     evidence = 1.0 if expressions and labels else 0.0
     if spans:
         evidence = max(evidence, 1 - 0.5 ** (1 + len({place for place, _ in spans})))
@@ -226,9 +247,9 @@ def scan_licenses(docs: DataFrame, id_cols: list[str], text: str = "text") -> Da
     types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.float64(), span, pa.list_(pa.string())]
 
     def scan(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton()
+        scanner = build_automaton()
         for batch in batches(source):
-            found = [scan_text(automaton, x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            found = [scan_text(scanner, x.as_py()) for x in batch.column(batch.num_columns - 1)]
             for x in found:
                 x["spans"] = [{"word": p, "label": label} for p, label in x["spans"]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([x[n] for x in found], t) for n, t in zip(names, types, strict=True))], names=[*batch.schema.names[:-1], *names])
