@@ -17,6 +17,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession)
     both = scratch.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("label"))
     first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"), F.col("node").alias("old"))
     labels = scratch.keep(first, "labels").select("node", "label")
     for _ in range(max_rounds):

@@ -45,6 +45,8 @@ from .words import mix
 
 _U = np.uint64
 CHUNK = 1 << 20
+#: Keys of a slice at least; the number of slices has a bound of its own.
+SLICE_KEYS = 2_000_000
 
 
 def _loose(items: int, ranges: int, spare: int) -> float:
@@ -261,6 +263,8 @@ def _sets_of(docs: DataFrame, doc_id: str, text: str, width: int, members: DataF
 
 def _shards(keyed: DataFrame, scratch: Scratch, slices: int) -> DataFrame:
     """(key, fp) of the shards that hold two or more different sets; of shards with equal members the one of least key."""
+    total = keyed.agg(F.sum(F.size("keys"))).collect()[0][0] or 0
+    slices = max(1, min(slices, total // SLICE_KEYS))  # a small table is not cut as often
     found = []
     for k in range(slices):
         mine = keyed.select("fp", F.explode("keys").alias("key")).where(F.pmod(F.shiftright("key", 40), F.lit(slices)) == k)
