@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import base_number, canonical_path, corrected_number, escape_directory_name, escape_file_name, is_upscaled_path, merged_file_name, merged_title, resolve_number
 from ..operators import match, sequence, tables
 from ..operators.rules import Rule, apply_rename_rules, filter_by_rules
+from ..session import materialised
 
 Latest = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -102,6 +103,7 @@ def ingest_plan(found: DataFrame, filter_rules: Iterable[Rule], rename_rules: It
     known = match.resolve_by_title(renamed, titles, "series", "series_id").join(series, "series_id", "left")
     # one name for a series' chapters, whichever alias found them
     rows = known.withColumns({"title": F.col("chapter_title"), "name": F.col("series"), "series": F.coalesce(F.concat(F.lit("#"), F.col("series_id")), F.col("series")), "number": resolve_number(F.col("number"), F.col("chapter_title"), F.col("file_name"))})
+    rows = materialised(rows, "ingest-rows")
     keyed = lambda frame: frame.select(F.concat(F.lit("#"), F.col("series_id")).alias("series"), *[c for c in frame.columns if c != "series_id"])
     parts = keyed(merged_parts)
 
@@ -110,7 +112,7 @@ def ingest_plan(found: DataFrame, filter_rules: Iterable[Rule], rename_rules: It
     done = parts.select("series", "number").distinct().withColumn("__merged", F.lit(True))
     open_ = wanted.join(done, ["series", "number"], "left_anti")
     numbers = match.union_distinct(keyed(existing).select("series", "number"), rows.select("series", "number"))
-    groups, additions, _ = merge_plan(open_.select("series", "file_name", "title", "number", "canonical"), parts, numbers)
+    groups, additions, _ = merge_plan(materialised(open_.select("series", "file_name", "title", "number", "canonical"), "ingest-open"), parts, numbers)
     place = ["series", "canonical"]
     grouped = groups.select(*place, F.col("base").alias("__base"), "merged_file").withColumn("__group", F.lit(True))
     appended = additions.select(*place, F.lit(True).alias("__append"))

@@ -563,22 +563,44 @@ def path_escape(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", text.escape_directory_name(F.concat("s_name", F.lit("/"), F.col("s_suppkey"), F.lit(".."))).alias("escaped"))
 
 
-@query(None)
+_PIXELS = "SELECT vec_id, unnest(embedding)::DOUBLE AS p, (generate_subscripts(embedding, 1) - 1) // 8 AS y, (generate_subscripts(embedding, 1) - 1) % 8 AS x FROM embeddings"
+
+
+@query(f"""
+WITH e AS ({_PIXELS}), m AS (SELECT k, i, CASE WHEN k = 0 THEN sqrt(1 / 8.0) ELSE sqrt(2 / 8.0) END * cos((2 * i + 1) * k * pi() / 16) AS w FROM range(8) a(k), range(8) b(i)),
+c AS (SELECT vec_id, v.k AS v, h.k AS h, sum(p * v.w * h.w) AS c FROM e JOIN m v ON v.i = y JOIN m h ON h.i = x GROUP BY 1, 2, 3),
+o AS (SELECT vec_id, (list_sort(list(c))[32] + list_sort(list(c))[33]) / 2 AS median FROM c GROUP BY 1),
+s AS (SELECT vec_id, sum(CASE WHEN c > median THEN 1::HUGEINT << (63 - h * 8 - v)::HUGEINT ELSE 0 END) AS bits FROM c JOIN o USING (vec_id) GROUP BY 1)
+SELECT vec_id, CAST(CASE WHEN bits >= 9223372036854775808 THEN bits - 18446744073709551616 ELSE bits END AS BIGINT) AS phash FROM s
+""")
 def phash_dct(spark, sf):
-    """F-10: perceptual hashes of vectors read as 8×8 images; no SQL form, tested against brute force."""
+    """F-10: perceptual hashes of vectors read as 8×8 images."""
     return table(spark, sf, "embeddings").select("vec_id", images.phash_udf("embedding").alias("phash"))
 
 
-@query(None)
+@query(f"""
+WITH e AS ({_PIXELS}), f AS (SELECT vec_id, u, v, sqrt(sum(p * cos(2 * pi() * (u * y + v * x) / 8)) ** 2 + sum(p * sin(2 * pi() * (u * y + v * x) / 8)) ** 2) / 8 AS m FROM e, range(8) a(u), range(8) b(v) GROUP BY 1, 2, 3),
+g AS (SELECT vec_id, r, avg(m) AS p FROM (SELECT vec_id, m, u, v, CAST(round(sqrt(least(u, 8 - u) ** 2 + least(v, 8 - v) ** 2)) AS INT) AS r FROM f) WHERE r BETWEEN 1 AND 4 GROUP BY 1, 2),
+t AS (SELECT vec_id, greatest(6 * avg(p) FILTER (r >= 3), 0.01 * max(p)) AS least FROM g GROUP BY 1),
+l AS (SELECT vec_id, max(r) FILTER (p >= least) AS last FROM g JOIN t USING (vec_id) GROUP BY 1)
+SELECT vec_id, CASE WHEN last / 4.0 < 0.9 THEN greatest(0.5, last / 4.0)::DOUBLE END AS scale FROM l
+""")
 def fft_cliff(spark, sf):
-    """F-15, A-19: spectral cliffs of vectors read as 8×8 images; no SQL form, tested against brute force."""
+    """F-15, A-19: spectral cliffs of vectors read as 8×8 images."""
     return table(spark, sf, "embeddings").select("vec_id", images.cliff_scale_udf("embedding").alias("scale"))
 
 
-@query(None)
+@query(f"""
+WITH e AS ({_PIXELS}), k AS (SELECT unnest([-1, 0, 1]) AS d, unnest([exp(-2.0), 1.0, exp(-2.0)]) / (1 + 2 * exp(-2.0)) AS w),
+b AS (SELECT e.vec_id, c.y, c.x, sum(e.p * i.w * j.w) AS p FROM (SELECT y, x FROM range(8) a(y), range(8) b(x)) c, k i, k j, e
+  WHERE e.y = greatest(0, least(7, c.y + i.d)) AND e.x = greatest(0, least(7, c.x + j.d)) GROUP BY 1, 2, 3),
+s AS (SELECT unnest([-1, 1, 0, 0, 0]) AS dy, unnest([0, 0, -1, 1, 0]) AS dx, unnest([1, 1, 1, 1, -4]) AS w),
+l AS (SELECT b.vec_id, c.y, c.x, sum(b.p * s.w) AS p FROM (SELECT y, x FROM range(8) a(y), range(8) b(x)) c, s, b WHERE b.y = greatest(0, least(7, c.y + s.dy)) AND b.x = greatest(0, least(7, c.x + s.dx)) GROUP BY 1, 2, 3)
+SELECT vec_id, round(stddev_samp(p), 6) AS sharpness FROM l GROUP BY 1
+""")
 def laplacian_sharpness(spark, sf):
-    """F-16: sharpness of vectors read as 8×8 images; no SQL form, tested against brute force."""
-    return table(spark, sf, "embeddings").select("vec_id", images.sharpness_udf("embedding").alias("sharpness"))
+    """F-16: sharpness of vectors read as 8×8 images."""
+    return table(spark, sf, "embeddings").select("vec_id", F.round(images.sharpness_udf("embedding"), 6).alias("sharpness"))
 
 
 from . import queries_flow, queries_match, queries_rows  # noqa: E402, F401  they register their queries

@@ -49,6 +49,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def materialised(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back: what several branches of a plan read is computed once."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def compact(spark: SparkSession, source: str, target: str, bytes_per_file: int = 256 << 20) -> DataFrame:
     """SNK-11: a table written anew in files of about one size: what a vacuum does for plain files."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
