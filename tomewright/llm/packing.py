@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised texts into sequences by bin completion.
 
 Texts become token ids once, word by word: white space never stands inside a pre-token, so a text's ids are those of its
-chunks between white space, and the ids of short chunks are kept while a task lasts. Texts longer than a sequence are cut into
+chunks between white space; a worker keeps the ids of short chunks until a task of another operator begins. Texts longer than a sequence are cut into
 full pieces and a rest. Pieces are dealt by a hash into blocks of bounded size; each block is solved by branch and
 bound: the largest piece left opens a bin, its undominated fillings are tried from the least waste on, a branch ends
 when its waste exceeds what a better solution may waste, and best-fit decreasing is the first incumbent. Bins that stay
@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import batches, written
+from .workspace import batches, keeps, written
 
-#: Chunks and pre-tokens of at most so many characters whose ids a task keeps (about 0.2 KB each); it starts over
+#: Chunks and pre-tokens of at most so many characters whose ids a worker keeps (about 0.2 KB each); it starts over
 #: beyond that number, which costs time only.
-KEPT_CHUNKS, KEPT_PIECES, KEPT_CHARS = 300_000, 300_000, 48
+KEPT_CHUNKS, KEPT_PIECES, KEPT_CHARS = 500_000, 500_000, 48
 _SEPARATOR = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed: the tokenizer's own split
 _LATIN = "\u024f"
@@ -79,57 +79,42 @@ class WordEncoder:
                 fresh.update((p, self.whole(p)) for p in part)
         return fresh
 
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of chunks without white space; those of short ones are kept."""
-        if len(self.chunks) > KEPT_CHUNKS:
-            self.chunks.clear()
-        if len(self.pieces) > KEPT_PIECES:
-            self.pieces.clear()
-        have, known = self.pieces, {}
-        pending: list[tuple[str, str]] = []
-        for chunk in chunks:
-            if self.special.search(chunk):
-                known[chunk] = self.whole(chunk)
-                continue
+    def learn(self, chunks: set[str], special: bool) -> dict[str, bytes]:
+        """The ids of chunks without white space; those of short ones are kept. ``special``: special tokens may be inside."""
+        have = self.pieces
+        known = {c: self.whole(c) for c in chunks if self.special.search(c)} if special else {}
+        lower: dict[str, str] = {}
+        for chunk in chunks - known.keys() if known else chunks:
             if chunk.isascii():
-                low = chunk.lower()
+                lower[chunk] = chunk.lower()
             elif max(chunk) <= _LATIN:
-                low = unicodedata.normalize("NFC", chunk).lower()
+                lower[chunk] = unicodedata.normalize("NFC", chunk).lower()
             else:
                 known[chunk] = self.whole(chunk)
-                continue
-            if low in have:  # a chunk that is one pre-token, in any case
-                known[chunk] = have[low]
-            else:
-                pending.append((chunk, low))
-        split = [[low] if low.isalpha() and low.isascii() else _PIECE.findall(low) for _, low in pending]
-        fresh = self._learn_pieces(list({p for pieces in split for p in pieces if p not in have}))
-        for (chunk, _), pieces in zip(pending, split, strict=True):
-            known[chunk] = b"".join([fresh[p] if p in fresh else have[p] for p in pieces])
-        have.update((p, ids) for p, ids in fresh.items() if len(p) <= KEPT_CHARS)
-        self.chunks.update((c, ids) for c, ids in known.items() if len(c) <= KEPT_CHARS)
+        split = {chunk: _PIECE.findall(low) for chunk, low in lower.items() if not low.isalpha()}  # letters alone are one piece
+        wanted = {low for chunk, low in lower.items() if chunk not in split}.union(*split.values())
+        ids = self._learn_pieces(list(wanted.difference(have)))
+        kept = {p: x for p, x in ids.items() if len(p) <= KEPT_CHARS}
+        ids.update((p, have[p]) for p in wanted if p not in ids)
+        for chunk, low in lower.items():
+            known[chunk] = b"".join([ids[p] for p in split[chunk]]) if chunk in split else ids[low]
+        have.update(kept)
+        self.chunks.update(known if max(map(len, known), default=0) <= KEPT_CHARS else {c: x for c, x in known.items() if len(c) <= KEPT_CHARS})
         return known
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's token ids as little-endian 32-bit words."""
-        kept = self.chunks
-        coded: list[bytes | list[bytes]] = []
-        gaps: list[tuple[list, int, str]] = []
-        for text in texts:
-            if text and _SEPARATOR.search(text):
-                coded.append(self.whole(text))
-                continue
-            chunks = (text or "").split()
-            parts = list(map(kept.get, chunks))
-            at = -1
-            for _ in range(parts.count(None)):
-                at = parts.index(None, at + 1)
-                gaps.append((parts, at, chunks[at]))
-            coded.append(parts)
-        known = self.learn(list({chunk for *_, chunk in gaps}))
-        for parts, at, chunk in gaps:
-            parts[at] = known[chunk]
-        return [c if isinstance(c, bytes) else b"".join(c) for c in coded]
+        if len(self.chunks) > KEPT_CHUNKS:
+            self.chunks.clear()
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces.clear()
+        texts = [t or "" for t in texts]
+        odd = {i for i, t in enumerate(texts) if _SEPARATOR.search(t)}
+        chunked = [[] if i in odd else t.split() for i, t in enumerate(texts)]
+        new = set().union(*chunked).difference(self.chunks)
+        known = self.learn(new, any(self.special.search(t) for t in texts))
+        find = self.chunks.__getitem__ if len(known) == 0 or known.keys() <= self.chunks.keys() else lambda c: known[c] if c in known else self.chunks[c]
+        return [self.whole(texts[i]) if i in odd else b"".join(map(find, chunks)) for i, chunks in enumerate(chunked)]
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -145,29 +130,27 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, encoder = TaskContext.get().partitionId() << 36, word_encoder(tokenizer_path)
-        try:
-            for batch in batches(source):
-                texts = batch.column(1).to_pylist()
-                rows, out = [], []
-                i = 0
-                while i < len(texts):
-                    j, size = i, 0
-                    while j < len(texts) and (j == i or size < slice_chars):
-                        size += len(texts[j] or "")
-                        j += 1
-                    for k, ids in enumerate(encoder.encode(texts[i:j]), i):
-                        ids += mark
-                        step = 4 * capacity
-                        for p, at in enumerate(range(0, len(ids), step)):
-                            part = ids[at : at + step]
-                            rows.append(k)
-                            out.append((number, p, at // 4, len(part) // 4, zlib.crc32(part)))
-                            number += 1
-                    i = j
-                columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([columns[0], batch.column(0).take(pa.array(rows)), *columns[1:]], names=["piece_key", "doc_id", "piece", "start", "length", "ids_crc32"])
-        finally:
-            encoder.forget()  # the worker goes on to other operators' tasks
+        keeps("packing", encoder.forget)
+        for batch in batches(source, "packing"):
+            texts = batch.column(1).to_pylist()
+            rows, out = [], []
+            i = 0
+            while i < len(texts):
+                j, size = i, 0
+                while j < len(texts) and (j == i or size < slice_chars):
+                    size += len(texts[j] or "")
+                    j += 1
+                for k, ids in enumerate(encoder.encode(texts[i:j]), i):
+                    ids += mark
+                    step = 4 * capacity
+                    for p, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        rows.append(k)
+                        out.append((number, p, at // 4, len(part) // 4, zlib.crc32(part)))
+                        number += 1
+                i = j
+            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([columns[0], batch.column(0).take(pa.array(rows)), *columns[1:]], names=["piece_key", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(cut, f"piece_key long, doc_id {kind}, piece long, start long, length long, ids_crc32 long")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -148,8 +148,19 @@ def with_row_key(docs: DataFrame, name: str, first: str) -> DataFrame:
         return written(docs, "rows").select("*", key)
 
 
-def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches that have rows."""
+#: What operators keep in a worker between tasks, and how to drop it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Say that a worker holds something of ``owner`` that goes when a task of another operator begins."""
+    _KEPT[owner] = forget
+
+
+def batches(source: Iterable[pa.RecordBatch], owner: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches that have rows. What other operators' tasks have kept in this worker is dropped first."""
+    for name in [n for n in _KEPT if n != owner]:
+        _KEPT.pop(name)()
     return (b for b in source if b.num_rows)
 
 
