@@ -65,7 +65,7 @@ def op6_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
         archives = [r["archive"] for r in warc.write_archives(rows, whole).collect()]  # names of files, one per task
     warc.normalise_archives(spark, archives, whole, split).collect()
     remove_folder(spark, whole)
-    return warc.read_archives(spark, archives, split)
+    return warc.read_archives(spark, archives, split).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
