@@ -289,7 +289,7 @@ def series_rename(spark, sf):
 WITH p AS (SELECT DISTINCT l_orderkey AS id, CAST(l_linenumber AS INT) AS k FROM lineitem), e AS (SELECT id, k, unnest(CASE WHEN k % 2 = 0 THEN [30, 100] ELSE [100] END) AS bottom FROM p),
 s AS (SELECT id, k, lag(bottom, 1, 0) OVER w AS top, bottom, row_number() OVER w AS i, count(*) OVER (PARTITION BY id, k) AS n FROM e WINDOW w AS (PARTITION BY id, k ORDER BY bottom)),
 a AS (SELECT id, k, 'original' AS archive, 'Page' || k AS page FROM p UNION ALL SELECT id, k, 'upscaled', 'PAGE' || k FROM p WHERE id % 2 = 0)
-SELECT id AS chapter_id, archive, page, CASE WHEN n > 1 THEN page || '_part' || i ELSE page END AS new_page, CASE WHEN n > 1 THEN top END AS top, CASE WHEN n > 1 THEN bottom END AS bottom,
+SELECT id AS chapter_id, archive, page, CASE WHEN n > 1 THEN page || '_part' || i ELSE page END AS new_page, CAST(CASE WHEN n > 1 THEN top END AS BIGINT) AS top, CAST(CASE WHEN n > 1 THEN bottom END AS BIGINT) AS bottom,
   CASE WHEN n = 1 THEN 'copy' WHEN archive = 'original' THEN 'crop' ELSE 'upscale_segment' END AS action FROM a JOIN s USING (id, k)
 """)
 def split_apply(spark, sf):
@@ -303,7 +303,7 @@ def split_apply(spark, sf):
 @query("""
 WITH i AS (SELECT event_id, md5(event_type || user_id % 7) AS h, user_id % 16 AS p, ts FROM events), f AS (SELECT n_nationkey AS id, md5(CASE n_nationkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'none' END || n_nationkey % 7) AS h, n_nationkey AS p FROM nation),
 m AS (SELECT event_id, arg_min(id, (s, id)) AS id, min(s) AS s FROM (SELECT event_id, id, 0 AS s FROM i JOIN f USING (h) UNION ALL SELECT event_id, id, 1 FROM i JOIN f USING (p)) GROUP BY 1)
-SELECT id AS filter_id, count(*) AS n, count(*) FILTER (s = 0) AS exact, max(ts) AS last_matched_at FROM m JOIN i USING (event_id) GROUP BY 1
+SELECT CAST(id AS BIGINT) AS filter_id, count(*) AS n, count(*) FILTER (s = 0) AS exact, max(ts) AS last_matched_at FROM m JOIN i USING (event_id) GROUP BY id
 """)
 def bulk_image_filter(spark, sf):
     """P-11, J-13, A-17: images that filters remove, by content first, and the filters' counters."""

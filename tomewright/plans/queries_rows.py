@@ -180,7 +180,7 @@ def queue_ends(spark, sf):
 
 
 @query("""
-SELECT n_nationkey AS filter_id, CAST(n_regionkey + coalesce(n, 0) AS BIGINT) AS occurrence_count, coalesce(t, TIMESTAMP '2023-12-31') AS last_matched_at
+SELECT CAST(n_nationkey AS BIGINT) AS filter_id, CAST(n_regionkey + coalesce(n, 0) AS BIGINT) AS occurrence_count, coalesce(t, TIMESTAMP '2023-12-31') AS last_matched_at
 FROM nation LEFT JOIN (SELECT user_id % 31 AS u, count(*) AS n, max(ts) AS t FROM events WHERE event_type = 'error' GROUP BY 1) ON u = n_nationkey
 """)
 def match_counters(spark, sf):
