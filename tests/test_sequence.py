@@ -12,6 +12,7 @@ def groups(spark, numbers, **options):
     return {b: sorted(v) for b, v in out.items()}
 
 
+# Number lists whose grouping is given; cases of our own follow them.
 @pytest.mark.parametrize(
     "numbers,want",
     [
@@ -26,6 +27,9 @@ def groups(spark, numbers, **options):
         (["5", "5.1", "5.2", "5.5", "99"], {"5": ["5", "5.1", "5.2"]}),
         (["4.1", "4.1", "4.2", "99"], {}),
         (["x", "8.1", "99"], {}),
+        (["-1.1", "0.0", "0.1", "6.05", "6.1", "99"], {"0": ["0.0", "0.1"]}),
+        (["12", "12.1", "13.1", "13.2", "13.4", "20.2", "20.3", "99"], {"12": ["12", "12.1"], "13": ["13.1", "13.2"]}),
+        (["8.10", "8.2", "8.3", "99"], {"8": ["8.10", "8.2", "8.3"]}),
     ],
 )
 def test_part_groups(spark, numbers, want):
