@@ -210,7 +210,8 @@ def _learn(trainer: Trainer, runs: Iterator[tuple[np.ndarray, ...]], least: int)
 def train(texts: DataFrame, vocab: Vocabulary, dim: int = 24, rounds: int = 1, text: str = "text", least_steps: int = 400) -> Parameters:
     """Rounds of local training over all texts, parameters averaged by tokens after each.
 
-    A task with few tokens goes over all of them again until it has made ``least_steps`` steps.
+    A task with few tokens goes over all of them again until it has made ``least_steps`` steps. Each task learns by itself
+    with a seed of its own, so the parameters depend, a little, on how texts are dealt to tasks.
     """
     spark = texts.sparkSession
     at, slots = start(vocab, dim), len(vocab.slot_counts)
