@@ -110,11 +110,11 @@ def replayable_tasks(spark, sf):
     return streams.replayable(tasks).select("id")
 
 
-@query("SELECT user_id, unnest(generate_series(min(ts), max(ts), INTERVAL 30 MINUTE)) AS run_at FROM events WHERE user_id % 10 = 1 GROUP BY 1")
+@query("SELECT user_id, unnest(generate_series(min(ts), max(ts), INTERVAL 3 HOUR)) AS run_at FROM events GROUP BY 1")
 def scheduled_runs(spark, sf):
     """ST-13: the times of a periodic job between a user's first and last event."""
-    spans = table(spark, sf, "events").where("user_id % 10 = 1").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    return streams.scheduled_runs(spans, "user_id", "a", "b", "30 minutes")
+    spans = table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return streams.scheduled_runs(spans, "user_id", "a", "b", "3 hours")
 
 
 @query(f"""
@@ -360,13 +360,13 @@ _BAD = 5
 
 
 def _archive_rows(spark, sf):
-    """Entries of one archive a customer: a page an order (one in 7 named wrongly), and a metadata file for most."""
+    """All orders as pages of 20 archives (one page in 7 named wrongly), and a metadata file for every other archive."""
     k = F.col("o_orderkey")
-    orders = table(spark, sf, "orders").where("o_custkey % 10 = 3").select("o_custkey", "o_orderkey")
-    archive = F.concat(F.lit("c"), F.col("o_custkey"), F.lit(".cbz"))
+    orders = table(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("a"), "o_orderkey")
+    archive = F.concat(F.lit("c"), F.col("a"), F.lit(".cbz"))
     pages = orders.select(archive.alias("archive"), F.concat(F.lit("in/p"), k, F.when(k % 7 == 0, ".png").otherwise(".JPG")).alias("name"), F.unhex(F.concat(F.lit("FFD8FF"), F.lpad(F.hex(k), 12, "0"))).alias("content"))
-    info = F.concat(F.lit("<ComicInfo><Series>S"), F.col("o_custkey"), F.lit("</Series><Number>"), F.col("o_custkey") % 4, F.lit("</Number></ComicInfo>"))
-    named = orders.select("o_custkey").distinct().where("o_custkey % 20 = 3")
+    info = F.concat(F.lit("<ComicInfo><Series>S"), F.col("a"), F.lit("</Series><Number>"), F.col("a") % 4, F.lit("</Number></ComicInfo>"))
+    named = orders.select("a").distinct().where("a % 2 = 0")
     return pages.unionByName(named.select(archive.alias("archive"), F.lit(archives.INFO).alias("name"), F.encode(info, "UTF-8").alias("content")))
 
 
@@ -379,8 +379,8 @@ def _archive_folder(spark, sf):
 
 
 @query(f"""
-WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 10 = 3)
-SELECT 'c' || k || '.cbz' AS relative_path, 'Cbz' AS storage_type, CASE WHEN k % 20 = 3 THEN 'S' || k ELSE '' END AS series, CASE WHEN k % 20 = 3 THEN CAST(k % 4 AS VARCHAR) ELSE '' END AS number, false AS failed FROM c WHERE k % 20 <> 3 OR NOT starts_with(CAST(k AS VARCHAR), '1')
+WITH c AS (SELECT DISTINCT o_custkey % 20 AS k FROM orders)
+SELECT 'c' || k || '.cbz' AS relative_path, 'Cbz' AS storage_type, CASE WHEN k % 2 = 0 THEN 'S' || k ELSE '' END AS series, CASE WHEN k % 2 = 0 THEN CAST(k % 4 AS VARCHAR) ELSE '' END AS number, false AS failed FROM c WHERE k % 2 = 1 OR NOT starts_with(CAST(k AS VARCHAR), '1')
 UNION ALL SELECT 'bad/' || i || '.cbz', 'Cbz', '', '', true FROM range({_BAD}) t(i) UNION ALL SELECT 'loose/x', 'Folder', 'Loose', '7', false UNION ALL SELECT 'loose/y', 'Folder', '', '', true
 """)
 def found_chapters(spark, sf):
@@ -391,8 +391,8 @@ def found_chapters(spark, sf):
 
 
 @query(f"""
-SELECT 'c' || o_custkey || '.cbz' AS archive, 'p' || o_orderkey AS page, CASE WHEN o_orderkey % 7 = 0 THEN '.png' ELSE '.jpg' END AS ext, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY 'p' || o_orderkey) - 1 AS INT) AS place, CASE WHEN o_orderkey % 7 = 0 THEN '.jpg' END AS repaired, false AS failed
-FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders WHERE o_custkey % 10 = 3) UNION ALL SELECT i || '.cbz', NULL, NULL, NULL, NULL, true FROM range({_BAD}) t(i)
+SELECT 'c' || a || '.cbz' AS archive, 'p' || o_orderkey AS page, CASE WHEN o_orderkey % 7 = 0 THEN '.png' ELSE '.jpg' END AS ext, CAST(row_number() OVER (PARTITION BY a ORDER BY 'p' || o_orderkey) - 1 AS INT) AS place, CASE WHEN o_orderkey % 7 = 0 THEN '.jpg' END AS repaired, false AS failed
+FROM (SELECT DISTINCT o_custkey % 20 AS a, o_orderkey FROM orders) UNION ALL SELECT i || '.cbz', NULL, NULL, NULL, NULL, true FROM range({_BAD}) t(i)
 """)
 def archive_pages(spark, sf):
     """SRC-6, SRC-12, SNK-9: the pages of all archives in order, with the extension their first bytes call for."""
@@ -402,8 +402,8 @@ def archive_pages(spark, sf):
 
 
 @query("""
-SELECT 'c' || o_custkey || '.cbz' AS archive, string_agg(n, ',' ORDER BY n) AS entries FROM (SELECT DISTINCT o_custkey, 'in/p' || o_orderkey || CASE WHEN o_orderkey % 7 = 0 THEN '.jpg' ELSE '.JPG' END AS n FROM orders WHERE o_custkey % 10 = 3
-UNION ALL SELECT DISTINCT o_custkey, 'ComicInfo.xml' FROM orders WHERE o_custkey % 10 = 3) WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0) GROUP BY 1
+SELECT 'c' || a || '.cbz' AS archive, count(*) AS entries, md5(string_agg(n, ',' ORDER BY n)) AS digest FROM (SELECT DISTINCT o_custkey % 20 AS a, 'in/p' || o_orderkey || CASE WHEN o_orderkey % 7 = 0 THEN '.jpg' ELSE '.JPG' END AS n FROM orders
+UNION ALL SELECT DISTINCT o_custkey % 20, 'ComicInfo.xml' FROM orders) WHERE a IN (SELECT o_custkey % 20 FROM orders WHERE o_orderkey % 7 = 0) GROUP BY 1
 """)
 def repaired_archives(spark, sf):
     """SNK-8, SNK-9: archives written anew where an extension is wrong, with a new metadata file; others are not touched."""
@@ -417,7 +417,9 @@ def repaired_archives(spark, sf):
     archives.save_files(fixed, folder)
     listed = archives.find_chapters(spark, folder).where("series = 'New' and number = '1'").select(F.col("file_name").alias("archive"))
     pages = archives.archive_pages(spark, folder).select(F.substring_index("archive", "/", -1).alias("archive"), F.concat(F.lit("in/"), "page", F.when(F.regexp_extract("page", r"(\d+)", 1).cast("long") % 7 == 0, ".jpg").otherwise(".JPG")).alias("n"))
-    return pages.groupBy("archive").agg(F.array_join(F.sort_array(F.concat(F.collect_list("n"), F.array(F.lit(archives.INFO)))), ",").alias("entries")).join(listed, "archive", "left_semi")
+    names = F.sort_array(F.concat(F.collect_list("n"), F.array(F.lit(archives.INFO))))
+    listing = pages.groupBy("archive").agg(names.alias("names")).select("archive", F.size("names").cast("long").alias("entries"), F.md5(F.array_join("names", ",")).alias("digest"))
+    return listing.join(listed, "archive", "left_semi")
 
 
 @query("""
@@ -455,13 +457,13 @@ def assembled_uploads(spark, sf):
     return whole.select("k", F.md5("content").alias("digest"))
 
 
-@query("SELECT p_partkey, p_size * 2 AS doubled, upper(p_name) AS loud FROM part WHERE p_size > 40")
+@query("SELECT p_partkey, p_size * 2 AS doubled, upper(p_name) AS loud FROM part")
 def script_rows(spark, sf):
     """U-5: an external program as a row function."""
     program = "import sys, json\nfor x in sys.stdin:\n r = json.loads(x)\n print(json.dumps({'p_partkey': r['p_partkey'], 'doubled': r['p_size'] * 2, 'loud': r['p_name'].upper()}))"
     import sys
 
-    return archives.script_rows(table(spark, sf, "part").where("p_size > 40").select("p_partkey", "p_size", "p_name"), [sys.executable, "-c", program], "p_partkey long, doubled int, loud string")
+    return archives.script_rows(table(spark, sf, "part").select("p_partkey", "p_size", "p_name"), [sys.executable, "-c", program], "p_partkey long, doubled int, loud string")
 
 
 @query("""
