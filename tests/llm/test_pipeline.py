@@ -50,11 +50,13 @@ def _stage(spark, name, rows, tmp_path, schema="doc_id long, text string, lang s
 
 
 def test_near_duplicates_go_by_row(spark, tmp_path):
-    a, b, c, d = ("one two three four five six", "seven eight nine ten eleven twelve", "some other words that stand here", "and more words that nobody repeats")
+    text = [f"{w} one {w} two {w} three four {w}" for w in ("oak", "elm", "ash", "fir", "yew", "box", "may")]
     got = lambda rows: sorted((tuple(r)[:2] for r in _stage(spark, "near_duplicates", rows, tmp_path).collect()), key=str)
-    assert got([(5, a), (None, a), (None, b), (3, c), (200, c), (200, d)]) == sorted([(5, a), (None, b), (3, c), (200, d)], key=str)
-    assert got([(None, a), (None, a), (None, None), (None, ""), (1, None), (1, None)]) == sorted([(None, a), (None, None), (None, ""), (1, None), (1, None)], key=str)
-    assert got([(1, a), (1, a), (1, b), (2, b)]) == sorted([(1, a), (1, b)], key=str)
+    rows = [(5, text[0]), (None, text[0]), (None, text[1]), (3, text[2]), (200, text[2]), (200, text[3])]  # null and repeated ids
+    rows += [(None, text[4]), (None, text[4]), (None, None), (None, ""), (1, None), (1, None)]  # no id at all, no text at all
+    rows += [(11, text[5]), (11, text[5]), (11, text[6]), (12, text[6])]  # one id, two texts
+    kept = [(5, text[0]), (None, text[1]), (3, text[2]), (200, text[3]), (None, text[4]), (None, None), (None, ""), (1, None), (1, None), (11, text[5]), (11, text[6])]
+    assert got(rows) == sorted(kept, key=str)
     assert got([]) == []
 
 
