@@ -143,10 +143,6 @@ def content_hash(content: Column) -> Column:
     return F.md5(content)
 
 
-def extension_of(name: Column) -> Column:
-    return F.lower(F.regexp_extract(name, r"(\.[^./\\]*)$", 1))
-
-
 def mime_type(extension: Column) -> Column:
     """F-12: MIME type of an image extension, with or without its dot, any case; else null."""
     dotted = F.lower(F.when(F.startswith(extension, F.lit(".")), extension).otherwise(F.concat(F.lit("."), extension)))
