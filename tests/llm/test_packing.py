@@ -116,17 +116,3 @@ def test_kept_ids_are_bounded(monkeypatch):
         assert all(len(c) <= packing.KEPT_CHARS for c in encoder.chunks)
     encoder.forget()
     assert not encoder.chunks and not encoder.pieces
-
-
-def test_kept_ids_go_when_another_operator_begins():
-    import public_tokenizers
-
-    from tomewright.llm import workspace
-
-    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    encoder.encode(["one two"])
-    workspace.keeps("packing", encoder.forget)
-    list(workspace.batches([], "packing"))
-    assert encoder.chunks
-    list(workspace.batches([]))
-    assert not encoder.chunks and "packing" not in workspace._KEPT

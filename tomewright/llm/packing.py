@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised texts into sequences by bin completion.
 
 Texts become token ids once, word by word: white space never stands inside a pre-token, so a text's ids are those of its
-chunks between white space; a worker keeps the ids of short chunks until a task of another operator begins. Texts longer than a sequence are cut into
+chunks between white space, and the ids of short chunks are kept while a task lasts. Texts longer than a sequence are cut into
 full pieces and a rest. Pieces are dealt by a hash into blocks of bounded size; each block is solved by branch and
 bound: the largest piece left opens a bin, its undominated fillings are tried from the least waste on, a branch ends
 when its waste exceeds what a better solution may waste, and best-fit decreasing is the first incumbent. Bins that stay
@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import batches, keeps, written
+from .workspace import batches, trim, written
 
-#: Chunks and pre-tokens of at most so many characters whose ids a worker keeps (about 0.2 KB each); it starts over
+#: Chunks and pre-tokens of at most so many characters whose ids a task keeps (about 0.2 KB each); it starts over
 #: beyond that number, which costs time only.
-KEPT_CHUNKS, KEPT_PIECES, KEPT_CHARS = 500_000, 500_000, 48
+KEPT_CHUNKS, KEPT_PIECES, KEPT_CHARS = 300_000, 300_000, 48
 _SEPARATOR = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed: the tokenizer's own split
 _LATIN = "\u024f"
@@ -130,27 +130,30 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, encoder = TaskContext.get().partitionId() << 36, word_encoder(tokenizer_path)
-        keeps("packing", encoder.forget)
-        for batch in batches(source, "packing"):
-            texts = batch.column(1).to_pylist()
-            rows, out = [], []
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size < slice_chars):
-                    size += len(texts[j] or "")
-                    j += 1
-                for k, ids in enumerate(encoder.encode(texts[i:j]), i):
-                    ids += mark
-                    step = 4 * capacity
-                    for p, at in enumerate(range(0, len(ids), step)):
-                        part = ids[at : at + step]
-                        rows.append(k)
-                        out.append((number, p, at // 4, len(part) // 4, zlib.crc32(part)))
-                        number += 1
-                i = j
-            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([columns[0], batch.column(0).take(pa.array(rows)), *columns[1:]], names=["piece_key", "doc_id", "piece", "start", "length", "ids_crc32"])
+        try:
+            for batch in batches(source):
+                texts = batch.column(1).to_pylist()
+                rows, out = [], []
+                i = 0
+                while i < len(texts):
+                    j, size = i, 0
+                    while j < len(texts) and (j == i or size < slice_chars):
+                        size += len(texts[j] or "")
+                        j += 1
+                    for k, ids in enumerate(encoder.encode(texts[i:j]), i):
+                        ids += mark
+                        step = 4 * capacity
+                        for p, at in enumerate(range(0, len(ids), step)):
+                            part = ids[at : at + step]
+                            rows.append(k)
+                            out.append((number, p, at // 4, len(part) // 4, zlib.crc32(part)))
+                            number += 1
+                    i = j
+                columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([columns[0], batch.column(0).take(pa.array(rows)), *columns[1:]], names=["piece_key", "doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            encoder.forget()  # the worker goes on to other operators' tasks
+            trim()
 
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(cut, f"piece_key long, doc_id {kind}, piece long, start long, length long, ids_crc32 long")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pandas as pd
@@ -148,20 +149,18 @@ def with_row_key(docs: DataFrame, name: str, first: str) -> DataFrame:
         return written(docs, "rows").select("*", key)
 
 
-#: What operators keep in a worker between tasks, and how to drop it.
-_KEPT: dict[str, Callable[[], None]] = {}
+def trim() -> None:
+    """Give memory that is free back to the system, where the C library can."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-def keeps(owner: str, forget: Callable[[], None]) -> None:
-    """Say that a worker holds something of ``owner`` that goes when a task of another operator begins."""
-    _KEPT[owner] = forget
-
-
-def batches(source: Iterable[pa.RecordBatch], owner: str = "") -> Iterator[pa.RecordBatch]:
-    """The batches that have rows. What other operators' tasks have kept in this worker is dropped first."""
-    for name in [n for n in _KEPT if n != owner]:
-        _KEPT.pop(name)()
-    return (b for b in source if b.num_rows)
+def batches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches that have rows; at their end the worker gives back what memory is free, as it goes on to other tasks."""
+    for batch in source:
+        if batch.num_rows:
+            yield batch
+    trim()
 
 
 def bit_filter(keys: DataFrame, key: str, log2_bits: int = 24) -> np.ndarray:
