@@ -31,7 +31,7 @@ from .workspace import batches, trim, written
 
 #: Chunks and pre-tokens of at most so many characters whose ids a task keeps (about 0.2 KB each); it starts over
 #: beyond that number, which costs time only.
-KEPT_CHUNKS, KEPT_PIECES, KEPT_CHARS = 300_000, 300_000, 48
+KEPT_CHUNKS, KEPT_PIECES, KEPT_CHARS = 600_000, 400_000, 48
 _SEPARATOR = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # fixed: the tokenizer's own split
 _LATIN = "\u024f"
