@@ -156,12 +156,17 @@ def valid_keys(requests: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
 
 
 def match_originals(upscaled: DataFrame, originals: DataFrame, file_name: str, escaped: str, title: str) -> DataFrame:
-    """J-18: the original of each upscaled file: its file name or escaped file name, else the first with its title."""
-    name = originals.select(F.col(file_name).alias("__k"), "chapter_id")
-    passes = [(file_name, name, 0), (escaped, name, 1), (title, originals.select(F.col(title).alias("__k"), "chapter_id"), 2)]
+    """J-18: the original of each upscaled file: its file name or escaped file name, else the first with its title.
+
+    Originals are brought to the first of each name and of each title before they are joined, so a file meets three rows
+    at most, however many originals share its name or title.
+    """
+    first = lambda key: originals.groupBy(F.col(key).alias("__k")).agg(F.min("chapter_id").alias("chapter_id"))
+    name = first(file_name)
+    passes = [(file_name, name, 0), (escaped, name, 0), (title, first(title), 1)]
     found = None
     for own, other, rank in passes:
-        hit = upscaled.select("upscaled_id", F.col(own).alias("__k")).join(other, "__k").select("upscaled_id", F.struct(F.lit(0 if rank < 2 else 1).alias("rank"), "chapter_id").alias("m"))
+        hit = upscaled.select("upscaled_id", F.col(own).alias("__k")).join(other, "__k").select("upscaled_id", F.struct(F.lit(rank).alias("rank"), "chapter_id").alias("m"))
         found = hit if found is None else found.unionByName(hit)
     best = found.groupBy("upscaled_id").agg(F.min("m").alias("m")).select("upscaled_id", F.col("m.chapter_id").alias("chapter_id"))
     return upscaled.join(best, "upscaled_id", "left")
