@@ -125,6 +125,28 @@ def test_the_space_is_fitted_on_all_documents(spark, monkeypatch):
     assert np.allclose(got, want, rtol=1e-3, atol=1e-3 * np.abs(want).max())
 
 
+def test_a_task_sends_its_matrix_in_rows(spark, monkeypatch):
+    """Not an element a row of the shuffle: what is on disk grows with the number of tasks."""
+    frames, real = [], dc.collected
+    monkeypatch.setattr(dc, "collected", lambda df: frames.append(df) or real(df))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a plain plan shows its counts
+    try:
+        docs, items, _ = _world()
+        cut = list(zip(range(30), dc.text_words([t for _, t in items])))
+        (index,) = dc.build_indexes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), [cut], dc.Settings())
+        plan, written = [frames[-1]._jdf.queryExecution().executedPlan()], []
+        for node in plan:
+            plan += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Exchange" and node.metrics().contains("shuffleBytesWritten"):
+                written.append(node.metrics().apply("shuffleBytesWritten").value())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    # besides the matrix, the exchange that deals out the documents counts here
+    texts = 2 * sum(len(t) for _, t in docs)
+    assert 0 < sum(written) < 3 * (len(index.vocabulary) + 1) * 272 * 5 + texts
+
+
 def test_empty_sides(spark):
     docs, bench = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert dc.find_leaks(docs.limit(0), bench).count() == 0

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .workspace import batches, collected, row_slices, text_buffers
+from .workspace import batches, collected, dropping_shuffles, row_slices, text_buffers
 
 CHUNK = 1 << 19
 WORD = np.zeros(256, dtype=bool)
@@ -170,10 +170,15 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "t
     return df, int(rows.loc[~real, "df"].sum())
 
 
+def _matrix_rows(b: np.ndarray, t: np.ndarray, rows: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(t, pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["b", "t", "x"])
+
+
 def corpus_range(docs: DataFrame, spaces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], settings: Settings, text: str = "text") -> list[tuple[np.ndarray, float]]:
     """For each space (vocabulary, idf, omega) XᵀXΩ over the passages of all documents, and their energy.
 
-    One scan for all spaces; one matrix of fixed size for each space and task is sent.
+    One scan for all spaces; one matrix of fixed size for each space and task is sent, a row of it as one value, and rows
+    are summed where they arrive.
     """
     shared = docs.sparkSession.sparkContext.broadcast(spaces)
 
@@ -197,17 +202,30 @@ def corpus_range(docs: DataFrame, spaces: list[tuple[np.ndarray, np.ndarray, np.
                         energy[b] += 2 * float((weight[t] ** 2).sum())
         for b, sums in enumerate(total):
             at = np.flatnonzero(sums.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, b)), pa.array([-1, *at], pa.int64()), pa.array([np.full(sums.shape[1], energy[b]), *sums[at]], pa.list_(pa.float64()))], names=["b", "t", "x"])
+            yield _matrix_rows(np.full(len(at) + 1, b), np.array([-1, *at]), [x.astype(np.float32) for x in (np.full(sums.shape[1], energy[b]), *sums[at])])
 
-    summed = docs.select(text).mapInArrow(run, "b long, t long, x array<double>").select("b", "t", F.posexplode("x").alias("k", "x")).groupBy("b", "t", "k").agg(F.sum("x").alias("x"))
-    rows = collected(summed)
+    def merge(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches(source):
+            for b, t, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = np.frombuffer(x, np.float32)
+                if (b, t) in total:
+                    total[b, t] += row
+                else:
+                    total[b, t] = row.astype(np.float64)
+        if total:
+            yield _matrix_rows(*np.array(list(total)).T, list(total.values()))
+
+    schema = "b long, t long, x binary"
+    with dropping_shuffles(docs.sparkSession):
+        rows = collected(docs.select(text).mapInArrow(run, schema).repartition("b", "t").mapInArrow(merge, schema))
     out = []
     for b, (vocabulary, _, omega) in enumerate(spaces):
         mine = rows[rows["b"] == b]
-        real = mine["t"] >= 0
+        at, values = mine["t"].to_numpy(), np.frombuffer(b"".join(mine["x"])).reshape(-1, omega.shape[1])
         matrix = np.zeros((len(vocabulary), omega.shape[1]))
-        matrix[mine.loc[real, "t"], mine.loc[real, "k"]] = mine.loc[real, "x"]
-        out.append((matrix, float(mine.loc[~real, "x"].mean()) if (~real).any() else 0.0))
+        matrix[at[at >= 0]] = values[at >= 0]
+        out.append((matrix, float(values[at < 0].mean()) if (at < 0).any() else 0.0))
     return out
 
 
