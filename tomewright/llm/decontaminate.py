@@ -34,6 +34,8 @@ from . import words
 from .workspace import batches, collected, dropping_shuffles, row_slices, text_buffers
 
 CHUNK = 1 << 19
+#: Tokens whose rows are summed at once; they stay in the cache.
+STRETCH = 512
 WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 
@@ -196,10 +198,11 @@ def corpus_range(docs: DataFrame, spaces: list[tuple[np.ndarray, np.ndarray, np.
                     back[1:][windows.joined[:-1]] += y[:-1][windows.joined[:-1]]
                     order = np.argsort(term[ok], kind="stable")
                     t, s = term[ok][order], windows.step[ok][order]
-                    if len(t):
-                        begins = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                        total[b][t[begins]] += np.add.reduceat(back[s], begins, axis=0) * weight[t[begins], None]
-                        energy[b] += 2 * float((weight[t] ** 2).sum())
+                    for a in range(0, len(t), STRETCH):
+                        some, at = t[a : a + STRETCH], s[a : a + STRETCH]
+                        begins = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+                        total[b][some[begins]] += np.add.reduceat(back[at], begins, axis=0) * weight[some[begins], None]
+                    energy[b] += 2 * float((weight[t] ** 2).sum())
         for b, sums in enumerate(total):
             at = np.flatnonzero(sums.any(1))
             yield _matrix_rows(np.full(len(at) + 1, b), np.array([-1, *at]), [x.astype(np.float32) for x in (np.full(sums.shape[1], energy[b]), *sums[at])])
